@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op06
+from . import op01, op06
 
-QUERIES = {"op6_mixing": op06.query}
-ORACLES = {"op6_mixing": op06.ORACLE}
+QUERIES = {"op1_quality_rules": op01.query, "op6_mixing": op06.query}
+ORACLES = {"op1_quality_rules": op01.ORACLE, "op6_mixing": op06.ORACLE}
