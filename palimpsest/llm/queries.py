@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from . import op01, op06
+from . import op01, op06, op08
 
-QUERIES = {"op1_quality_rules": op01.query, "op6_mixing": op06.query}
-ORACLES = {"op1_quality_rules": op01.ORACLE, "op6_mixing": op06.ORACLE}
+QUERIES = {
+    "op1_quality_rules": op01.query,
+    "op6_mixing": op06.query,
+    "op8_simhash": op08.query,
+}
+ORACLES = {
+    "op1_quality_rules": op01.ORACLE,
+    "op6_mixing": op06.ORACLE,
+}
