@@ -6,11 +6,16 @@ carriage return.
 
 from __future__ import annotations
 
+import sys
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Functions travel with the tasks, so executors need not have the library installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__.split(".")[0]])
+
 #: White space that separates words.
 SPACE = " \t\n\x0b\f\r"
 SPACE_RE = "[ \\t-\\r]+"

@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, let, small, stage, words
@@ -128,9 +128,8 @@ def calibrate(stats: DataFrame, labels: DataFrame, key: str = "doc_id", risk: fl
     sums = [F.count_if(F.expr(f"({RULES[r][0]}) > {c}D") & (F.col("quality") == q)).alias(f"{r}_{i}_{q}") for r, i, c in tests for q in (0, 1)]
     counts = held.groupBy("stratum").agg(F.count_if(F.col("quality") == 1).alias("n"), *sums)
     cells = F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(i).alias("step"), F.lit(c).alias("cut"), F.col(f"{r}_{i}_0").alias("bad"), F.col(f"{r}_{i}_1").alias("good")) for r, i, c in tests))
-    each = stage(counts.select("stratum", "n", F.explode(cells).alias("c")).select("stratum", "n", "c.*"), "rules-counts")
-    strata = each.select(F.count_distinct(F.struct("stratum")).alias("strata"))
-    each = each.crossJoin(F.broadcast(strata))  # one row
+    counts = counts.withColumn("strata", F.count(F.lit(1)).over(Window.partitionBy()))  # one row a stratum
+    each = stage(counts.select("stratum", "n", "strata", F.explode(cells).alias("c")).select("stratum", "n", "strata", "c.*"), "rules-counts")
     level = F.lit(delta) / (F.col("strata") * F.lit(len(tests)))
     gain = F.col("bad") - COST * F.col("good")
     safe = each.withColumn("gain", gain).where("gain > 0").where(binomial_tail(F.col("n"), F.col("good"), risk / len(RULES)) <= level)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import op01, op06, op07, op08
+from . import op01, op06, op07, op08, op10
 
 QUERIES = {
     "op1_quality_rules": op01.query,
     "op6_mixing": op06.query,
     "op7_toxicity": op07.query,
     "op8_simhash": op08.query,
+    "op10_compact_windows": op10.query,
 }
 ORACLES = {
     "op1_quality_rules": op01.ORACLE,
