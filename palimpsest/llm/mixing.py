@@ -85,6 +85,6 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP, seed:
     """The mixed documents: every row of docs as often as the plan says, columns unchanged."""
     columns = docs.columns
     kept = stage(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-rows")
-    plan = plan_mix(kept, "__row", weights, cap, seed).where("copies > 0").select("__row", "copies")
-    out = kept.join(plan, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    plan = plan_mix(kept, "__row", weights, cap, seed).where("copies > 0").select("__row", F.col("copies").alias("__copies"))
+    out = kept.join(small(stage(plan, "mix-plan")), "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
     return out.select(*columns)

@@ -11,9 +11,9 @@ from .toxicity import toxicity
 THRESHOLD = 0.7
 
 
-def scored(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def scored(spark: SparkSession, docs: DataFrame, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    out = toxicity(docs.select("doc_id", "text"), labels, bucket(F.col("doc_id"), 3) != 1)
+    out = toxicity(docs.select("doc_id", "text", *keep), labels, bucket(F.col("doc_id"), 3) != 1, keep=keep)
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import op01, op06, op07, op08, op10
+from . import op01, op04, op06, op07, op08, op10
 
 QUERIES = {
     "op1_quality_rules": op01.query,
+    "op4_sentencepiece": op04.query,
     "op6_mixing": op06.query,
     "op7_toxicity": op07.query,
     "op8_simhash": op08.query,

@@ -51,17 +51,17 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * set_bits > len(h), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """key and fingerprint (bigint) of every row."""
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, the columns in keep and the fingerprint fp (bigint) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).cast(pa.binary())
             f = [fingerprint(t.as_py() or b"", shingle) for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f, pa.int64())], ["key", "fp"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:1], *b.columns[2:], pa.array(f, pa.int64())], [key, *keep, "fp"])
 
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, fp bigint").withColumnRenamed("key", key)
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (key, *keep))
+    return docs.select(key, text, *keep).mapInArrow(run, f"{kinds}, fp bigint")
 
 
 def _signed(x: int) -> int:
@@ -135,12 +135,12 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return spread.mapInArrow(partial(_clustered, radius=radius), "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """key, fp and component_id (the smallest key that links reach) of every row."""
-    marked = stage(fingerprints(docs, key, text, shingle), "simhash")
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, the columns in keep, fp and component_id (the smallest key that links reach) of every row."""
+    marked = stage(fingerprints(docs, key, text, shingle, keep), "simhash")
     each = stage(marked.groupBy("fp").agg(F.min(key).alias("least")), "simhash-different")
     roots = components(stage(links(each.select("fp"), radius), "simhash-links"), "simhash-components")
     rooted = each.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     member = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return marked.join(member, "fp").select(key, "fp", "component_id")
+    return marked.join(member, "fp").select(key, *keep, "fp", "component_id")

@@ -180,8 +180,8 @@ def learn_lexicon(labelled: DataFrame) -> Model:
     return Model(lexicon, families, _scale(chance))
 
 
-def gather(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, evidence, n_tokens and passages (characters from, to, -ln E) of every row."""
+def gather(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, the columns in keep, evidence and passages (characters from, to, -ln E) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = Scores(model)
@@ -189,11 +189,11 @@ def gather(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
         for b in batches:
             found = [evidence(t.as_py() or "", scores, model.scale) for t in b.column(1)]
             passages = [[{"start": a, "end": z, "evidence": e} for a, z, e in p] for _, p in found]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([e for e, _ in found], pa.float64()), pa.array(passages, kind)], ["key", "evidence", "passages"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:1], *b.columns[2:], pa.array([e for e, _ in found], pa.float64()), pa.array(passages, kind)], names)
 
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    kind = docs.schema[key].dataType.simpleString()
-    return rows.mapInArrow(run, f"key {kind}, evidence double, passages array<struct<start:int,end:int,evidence:double>>").withColumnRenamed("key", key)
+    names = [key, *keep, "evidence", "passages"]
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (key, *keep))
+    return docs.select(key, text, *keep).mapInArrow(run, f"{kinds}, evidence double, passages array<struct<start:int,end:int,evidence:double>>")
 
 
 def _logistic(cells: list[tuple[float, int, int]]) -> tuple[float, float]:
@@ -218,15 +218,18 @@ def _logistic(cells: list[tuple[float, int, int]]) -> tuple[float, float]:
     return a, b
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, train: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, score, evidence and passages of every row of docs. labels: key, toxic; train: which keys may be learnt from."""
+def toxicity(docs: DataFrame, labels: DataFrame, train: Column, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, the columns in keep, score, evidence and passages of every row of docs.
+
+    labels: key, toxic; train: which keys may be learnt from.
+    """
     known = labels.where("toxic IS NOT NULL").where(train).groupBy(key).agg(F.max("toxic").cast("int").alias("toxic"))
     known = stage(known.where(F.col("toxic").isin(0, 1)), "toxicity-labels")
     model = learn_lexicon(docs.select(key, text).join(small(known), key).select(text, "toxic"))
-    found = stage(gather(docs, model, key, text), "toxicity-evidence")
+    found = stage(gather(docs, model, key, text, keep), "toxicity-evidence")
     cell = F.floor(F.least(F.col("evidence"), F.lit(MOST)) / BIN)
     cells = found.join(known, key).groupBy(cell.alias("cell")).agg(F.count_if(F.col("toxic") == 0), F.count_if(F.col("toxic") == 1)).collect()
     a, b = _logistic([(r[0] * BIN, r[1], r[2]) for r in sorted(cells)]) if cells else (-math.inf, 0.0)
     x = F.floor(F.least(F.col("evidence"), F.lit(MOST)) / BIN) * BIN
     score = F.lit(0.0) if a == -math.inf else 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * x)))
-    return found.select(key, score.alias("score"), "evidence", "passages")
+    return found.select(key, *keep, score.alias("score"), "evidence", "passages")
