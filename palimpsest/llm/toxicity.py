@@ -169,7 +169,7 @@ def learn_lexicon(labelled: DataFrame) -> Model:
     shares: dict[str, float] = {}
     base = math.log(share / (1 - share))
     parent = lambda k: next((shares[k[:n]] for n in range(len(k) - 1, 2, -1) if k[:n] in shares), share)
-    smooth = lambda r: (r.toxic + PRIOR * parent(r.stem)) / (r.toxic + r.clean + PRIOR)
+    smooth = lambda r: min(1 - 1e-9, (r.toxic + PRIOR * parent(r.stem)) / (r.toxic + r.clean + PRIOR))
     odds = lambda s: min(TOP, math.log(s / (1 - s)) - base)
     for r in sorted(heads, key=lambda r: len(r.stem)):
         shares[r.stem] = smooth(r)
