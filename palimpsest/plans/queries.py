@@ -36,6 +36,10 @@ def store(x: Fixtures) -> Store:
     return Store(x.messages, x.conversations, x.participants, x.units, x.acl)
 
 
+def no_null(name: str):
+    return F.coalesce(name, F.lit(0)).alias(name)
+
+
 def seen(x: Fixtures) -> DataFrame:
     return access.readable(x.conversations, x.participants, x.queries)
 
@@ -86,9 +90,7 @@ def access_reason(x):
 @query("""SELECT p.patterns, q.requester, CASE WHEN p.patterns = '*' OR p.patterns = q.requester OR (suffix(p.patterns, '*') AND starts_with(q.requester, p.patterns[:-2])) THEN true ELSE false END AS allowed
 FROM (SELECT DISTINCT requester FROM queries) q, (SELECT unnest(['*', 'user:*', 'agent:a1', 'a*nt:*']) AS patterns) p""")
 def identity_match(x):
-    patterns = x.spark.createDataFrame([("*",), ("user:*",), ("agent:a1",), ("a*nt:*",)], "patterns string")
     pairs = x.queries.select("requester").distinct().withColumn("patterns", F.explode(F.array(*(F.lit(p) for p in ("*", "user:*", "agent:a1", "a*nt:*")))))
-    del patterns
     return pairs.select("patterns", "requester", access.identity_matches(F.array("patterns"), F.col("requester")).alias("allowed"))
 
 
@@ -169,9 +171,9 @@ def no_answer_gate(x):
     return search.no_answer(search.dense_search(*search_args(x)), 0.45, 0.15).select("query_id", "unit_id")
 
 
-@query("SELECT query_id, anchor_message_id, unit_id, raw_score, rank FROM lexical")
+@query("SELECT query_id, anchor_message_id, coalesce(unit_id, 0) AS unit_id, raw_score, rank FROM lexical")
 def lexical_simple_and(x):
-    return search.lexical_search(*search_args(x)).select("query_id", "anchor_message_id", "unit_id", "raw_score", "rank")
+    return search.lexical_search(*search_args(x)).select("query_id", "anchor_message_id", no_null("unit_id"), "raw_score", "rank")
 
 
 @query("SELECT query_id, unit_id, raw_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw_score DESC, unit_id) AS rank FROM dense_all WHERE anchor_message_id // 1000 % 2 = 0) WHERE rank <= 5")
@@ -180,16 +182,16 @@ def dense_filtered(x):
     return search.dense_search(*search_args(x), k=5, metadata=only).select("query_id", "unit_id", "raw_score", "rank")
 
 
-@query("SELECT query_id, anchor_message_id, conversation_id, start_sequence, end_sequence, round(score, 8) AS score, dense_rank, lexical_rank, access_reason, unit_id FROM fused")
+@query("SELECT query_id, anchor_message_id, conversation_id, start_sequence, end_sequence, round(score, 8) AS score, coalesce(dense_rank, 0) AS dense_rank, coalesce(lexical_rank, 0) AS lexical_rank, access_reason, coalesce(unit_id, 0) AS unit_id FROM fused")
 def rrf_fuse(x):
     rows = fused(store(x), x.queries, CONFIG)
-    return rows.select("query_id", "anchor_message_id", "conversation_id", "start_sequence", "end_sequence", F.round("score", 8).alias("score"), "dense_rank", "lexical_rank", "access_reason", "unit_id")
+    return rows.select("query_id", "anchor_message_id", "conversation_id", "start_sequence", "end_sequence", F.round("score", 8).alias("score"), no_null("dense_rank"), no_null("lexical_rank"), "access_reason", no_null("unit_id"))
 
 
-@query("SELECT query_id, conversation_id, start_sequence, end_sequence, round(score, 8) AS score, anchor_message_id, access_reason, dense_rank, lexical_rank FROM merged")
+@query("SELECT query_id, conversation_id, start_sequence, end_sequence, round(score, 8) AS score, anchor_message_id, access_reason, coalesce(dense_rank, 0) AS dense_rank, coalesce(lexical_rank, 0) AS lexical_rank FROM merged")
 def merge_adjacent(x):
     rows = fusion.merge_adjacent(fused(store(x), x.queries, CONFIG))
-    return rows.select("query_id", "conversation_id", "start_sequence", "end_sequence", F.round("score", 8).alias("score"), "anchor_message_id", "access_reason", "dense_rank", "lexical_rank")
+    return rows.select("query_id", "conversation_id", "start_sequence", "end_sequence", F.round("score", 8).alias("score"), "anchor_message_id", "access_reason", no_null("dense_rank"), no_null("lexical_rank"))
 
 
 def excerpts(x: Fixtures) -> DataFrame:
@@ -556,10 +558,10 @@ def latency_percentiles(x):
     return evaluate.latency(x.read("events"), "value", "event_type")
 
 
-@query("""SELECT event_type AS variant, user_id % 4 AS category, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2 UNION ALL SELECT event_type, NULL, count(*), round(avg(value), 6) FROM events GROUP BY 1""")
+@query("""SELECT event_type AS variant, user_id % 4 AS category, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2 UNION ALL SELECT event_type, -1, count(*), round(avg(value), 6) FROM events GROUP BY 1""")
 def report_by_variant(x):
     rows = x.read("events").selectExpr("event_type AS variant", "user_id % 4 AS category", "value")
-    return evaluate.report(rows, "value", "variant", "category")
+    return evaluate.report(rows, "value", "variant", "category").na.fill(-1, ["category"])
 
 
 JOBS = "SELECT ['embed', 'graph_extract', 'graph_reeval'][(event_id % 3 + 1)::INT] AS job_type, ['pending', 'running', 'done', 'dead'][(user_id % 4 + 1)::INT] AS status, user_id % 7 AS attempts, ts, event_id FROM events"
