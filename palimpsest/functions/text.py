@@ -114,5 +114,5 @@ NO_ALIAS = ("il", "elle", "ils", "elles", "on", "je", "tu", "nous", "vous", "lui
 
 def clean_aliases(aliases: Column) -> Column:
     """Trimmed aliases of two characters or more that are no pronoun or article, the first of those equal but for case."""
-    trimmed = F.filter(F.transform(aliases, F.trim), lambda a: (F.length(a) >= 2) & ~F.lower(a).isin(*NO_ALIAS))
+    trimmed = F.filter(F.transform(aliases, lambda a: F.trim(a)), lambda a: (F.length(a) >= 2) & ~F.lower(a).isin(*NO_ALIAS))
     return F.filter(trimmed, lambda a, i: F.array_position(F.transform(trimmed, F.lower), F.lower(a)) == i + 1)

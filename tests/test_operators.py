@@ -44,9 +44,8 @@ def test_scope_grants_and_guards(spark, store):
 
 def test_every_strategy_checks_the_requester(spark, store):
     for name in ("dense", "lexical"):
-        rows = candidates(store, queries(spark, ("w", "")), Config(), (name,))[0][1]
         with pytest.raises(Exception, match="workspace and requester"):
-            rows.collect()
+            candidates(store, queries(spark, ("w", "")), Config(), (name,))[0][1].collect()
     with pytest.raises(ValueError, match="unknown"):
         candidates(store, queries(spark, ("w", "a")), Config(), ("sparse",))
     with pytest.raises(ValueError, match="lacks"):
@@ -142,14 +141,14 @@ def test_stream_drops_replays_and_closes_windows(spark, tmp_path):
     row = lambda c, s, minute: json.dumps({"conversation_id": c, "request_id": f"{c}{s}", "sequence_number": s, "author_key": "a", "content": "x", "created_at": f"2026-01-01T00:{minute:02d}:00Z"})
     parts = [[row("a", s, 0) for s in range(1, 6)] + [row("a", 1, 0), row("b", 1, 0)], [row("a", 6, 1), row("a", 2, 1)], [row("c", 1, 40)], [row("c", 2, 59)]]
 
-    def run(name):
+    def run():
         frame = stream.debounced(stream.read(spark, str(source)), Config(extraction_batch=4))
-        q = frame.writeStream.queryName(name).format("memory").outputMode("append").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+        q = frame.writeStream.format("parquet").outputMode("append").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
         q.awaitTermination(120)
-        return [tuple(r) for r in spark.table(name).collect()]
+        return [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
 
     out = []
     for k, lines in enumerate(parts):
         (source / f"{k}.json").write_text("\n".join(lines))
-        out += run(f"w{k}")
+        out = run()
     assert ("a", 1, 4, 4, "full") in out and ("a", 5, 6, 2, "idle") in out and ("b", 1, 1, 1, "idle") in out and len([x for x in out if x[0] != "c"]) == 3
