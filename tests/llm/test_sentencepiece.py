@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -31,7 +32,9 @@ def test_words_are_encoded_and_decoded_as_by_the_library(pieces, theirs):
     for t in texts():
         ids = [i for w in re.findall(L.WORD, L.MARK + t.replace(" ", L.MARK)) for i in pieces.encode_word(w)] if t else []
         assert ids == theirs.encode(t), t
-        assert pieces.decode(ids) == t
+        assert pieces.decode(pa.array([ids, None, []], pa.list_(pa.int32()))).to_pylist() == [t, None, ""]
+    bad = [pieces.byte_ids[0xC3], pieces.byte_ids[0x28]]
+    assert pieces.decode(pa.array([bad], pa.list_(pa.int32()))).to_pylist() == [theirs.decode(bad)]
 
 
 def test_relational_lattice_equals_the_library(spark, pieces, theirs):
