@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.filters import compile_filter
 from ..functions.vector import cosine, normalised
-from ..operators import access, evaluate, fusion, graph, ingest, search
+from ..operators import access, evaluate, fusion, graph, ingest, models, search
 from ..schema import Config
 from ..sources.fixtures import Fixtures
 from .duck import oracle
@@ -596,3 +596,47 @@ def stats_counts(x):
 def score_split(x):
     rows = search.dense_search(*search_args(x)).select((F.col("rank") <= 3).alias("is_hit"), F.col("raw_score").alias("score"))
     return evaluate.hit_split(rows)
+
+
+# --- models and language: no SQL form --------------------------------------------------------------------------
+
+
+@query(None)
+def lexical_stemmed(x):
+    return models.stemmed_search(*search_args(x)).select("query_id", "anchor_message_id", F.round("raw_score", 6).alias("raw_score"), "rank")
+
+
+@query(None)
+def candidate_entities(x):
+    texts = x.queries.select(F.col("query_id").alias("key"), "workspace_id", F.concat_ws(" ", F.lit("customer"), F.lpad((F.col("query_id") / 50).cast("string"), 9, "0")).alias("text"))
+    return models.similar_entities(x.entities, texts)
+
+
+@query(None)
+def rerank_results(x):
+    pool = hybrid(store(x), x.queries, Config(minimum_dense_score=0.1, final_top_k=16)).select("query_id", "rank", "content", "score")
+    pool = pool.join(access.bounded(x.queries.select("query_id", "query_text")), "query_id")
+    return models.rerank(pool, _longest_first, 8).select("query_id", "rank", "score", "fusion_score")
+
+
+def _longest_first(question: str, texts: list[str]) -> list[int]:
+    return sorted(range(len(texts)), key=lambda i: (-len(texts[i]), i))
+
+
+@query(None)
+def embed_messages(x):
+    rows = models.embed(x.messages.where("NOT deleted").select("message_id", "content"), "content", models.hash_embedder(16), "search_document: ")
+    return rows.select("message_id", F.round(F.col("embedding")[0], 6).alias("first"), F.size("embedding").alias("dim"))
+
+
+@query(None)
+def extraction_windows(x):
+    return models.extraction_windows(x.messages).select("conversation_id", "window", F.octet_length("text").alias("bytes"), F.size("message_ids").alias("messages"))
+
+
+@query(None)
+def corpus_audit(x):
+    lists = candidates(store(x), x.queries, CONFIG)
+    found = [rows.select(F.lit(name).alias("strategy"), "query_id", "anchor_message_id") for name, rows in lists]
+    gold = search.dense_candidates(*search_args(x)).where("raw_score >= 0.25").select("query_id", "anchor_message_id")
+    return models.audit(found[0].unionByName(found[1]), gold)
