@@ -19,11 +19,14 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
@@ -35,7 +38,7 @@ WORD = f"{MARK}*[^{MARK}]+|{MARK}+"
 #: Words encoded relationally, and their greatest length.
 LEXICON, LENGTH = 65_536, 32
 #: Words that a task remembers.
-REMEMBER = 300_000
+REMEMBER = 150_000
 
 
 @dataclass(frozen=True)
@@ -85,23 +88,26 @@ class Pieces:
         whole = _viterbi(word, self) if self.unigram else _merged(word, ids, score)
         return [i for p in whole for i in ([ids[p]] if p in ids else self.spell(p))]
 
-    def decode(self, tokens: list[int]) -> str:
-        out, raw, bytes_ = [], bytearray(), self._bytes
-        for t in tokens:
-            if t in bytes_:
-                raw.append(bytes_[t])
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
-                raw.clear()
-            if t not in self.silent:
-                out.append(" ⁇ " if t == self.unknown else self.text[t])
-        out.append(raw.decode("utf-8", "replace"))
-        return "".join(out).replace(MARK, " ").removeprefix(" ")
-
     @cached_property
-    def _bytes(self) -> dict[int, int]:
-        return {i: b for b, i in enumerate(self.byte_ids)}
+    def raw(self) -> pa.Array:
+        """The bytes that each id stands for."""
+        values = [b"" if i in self.silent else " \u2047 ".encode() if i == self.unknown else t.replace(MARK, " ").encode() for i, t in enumerate(self.text)]
+        for byte, i in enumerate(self.byte_ids):
+            values[i] = bytes([byte])
+        return pa.array(values, pa.binary())
+
+    def decode(self, tokens: pa.ListArray) -> pa.Array:
+        """Texts of lists of ids; bytes that are no UTF-8 become replacement characters."""
+        flat = self.raw.take(tokens.flatten())
+        lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
+        joined = pc.binary_join(pa.ListArray.from_arrays(offsets, flat), b"")
+        joined = pc.replace_substring_regex(joined, "^ ", "", max_replacements=1)
+        try:
+            out = joined.cast(pa.string())
+        except pa.ArrowInvalid:
+            out = pa.array([x.as_py().decode("utf-8", "replace") for x in joined], pa.string())
+        return pc.if_else(tokens.is_valid(), out, None)
 
 
 def _merged(word: str, ids: dict[str, int], score: tuple[float, ...]) -> list[str]:
@@ -141,11 +147,20 @@ def _viterbi(word: str, pieces: Pieces) -> list[str]:
 
 
 def frequent_words(docs: DataFrame, text: str = "text", limit: int = LEXICON) -> DataFrame:
-    """The words that occur most often in docs, those short enough for the relational lattice."""
+    """The words that occur most often in docs, at most limit, among those short enough for the relational lattice."""
     marked = F.concat(F.lit(MARK), F.replace(F.col(text), F.lit(" "), F.lit(MARK)))
     words = docs.where(F.length(text) > 0).select(F.explode(F.regexp_extract_all(marked, F.lit(WORD), F.lit(0))).alias("word"))
     counted = words.where(F.length("word") <= LENGTH).groupBy("word").count().where("count > 1")
-    return counted.orderBy(F.desc("count"), "word").limit(limit).select("word")
+    level = F.floor(F.log2("count") * 64)
+    counted = stage(counted.select("word", level.alias("level")), "lattice-counts")
+    # words by level of frequency: a few thousand rows whatever the corpus; no sort of all words
+    least, room = None, limit
+    for r in sorted(counted.groupBy("level").count().collect(), reverse=True):
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["level"]
+    return counted.where(F.lit(False) if least is None else F.col("level") >= least).select("word")
 
 
 def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
@@ -208,25 +223,24 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", lexicon: int = L
     names = [*docs.columns, "token_ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = dict(known)
-
-        def one(t: str) -> list[int]:
-            if not t:
-                return []
-            out: list[int] = []
-            for w in cut.findall(MARK + t.replace(" ", MARK)):
-                found = ids.get(w)
-                if found is None:
-                    found = pieces.encode_word(w)
-                    if len(w) <= LENGTH:
-                        ids[w] = found
-                out += found
-            return out
-
+        start = {w: array("i", x) for w, x in known.items()}
+        ids = dict(start)
         for b in batches:
-            if len(ids) > len(known) + REMEMBER:
-                ids = dict(known)
-            made = pa.array([None if (t := x.as_py()) is None else one(t) for x in b.column(at)], pa.list_(pa.int32()))
+            if len(ids) > len(start) + REMEMBER:
+                ids = dict(start)
+            flat, ends, missing = array("i"), [0], []
+            for x in b.column(at):
+                t = x.as_py()
+                missing.append(t is None)
+                for w in cut.findall(MARK + t.replace(" ", MARK)) if t else ():
+                    found = ids.get(w)
+                    if found is None:
+                        found = array("i", pieces.encode_word(w))
+                        if len(w) <= LENGTH:
+                            ids[w] = found
+                    flat += found
+                ends.append(len(flat))
+            made = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, dtype=np.int32) if flat else [], pa.int32()), mask=pa.array(missing, pa.bool_()))
             yield pa.RecordBatch.from_arrays([*b.columns, made], names)
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("token_ids", ArrayType(IntegerType()))]))
@@ -239,8 +253,7 @@ def decode(rows: DataFrame, pieces: Pieces, ids: str = "token_ids") -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [None if (t := x.as_py()) is None else pieces.decode(t) for x in b.column(at)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.string())], names)
+            yield pa.RecordBatch.from_arrays([*b.columns, pieces.decode(b.column(at))], names)
 
     return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("decoded", StringType())]))
 
