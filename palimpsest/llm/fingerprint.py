@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, stage
+from .common import partitions
 from .tokens import mix
 
 TOKEN = re.compile(rb"[^ \t-\r]+[ \t-\r]*|^[ \t-\r]+")
@@ -123,10 +123,10 @@ def edited(text: str, following: str) -> str:
 
 
 class _Row:
-    __slots__ = ("key", "hash", "text", "print")
+    __slots__ = ("key", "text", "print")
 
-    def __init__(self, key, hash_, text: str):
-        self.key, self.hash, self.text, self.print = key, hash_, text, fingerprint(text.encode())
+    def __init__(self, key, text: str):
+        self.key, self.text, self.print = key, text, fingerprint(text.encode())
 
     def facts(self, following: _Row) -> tuple:
         new = edited(self.text, following.text).encode()
@@ -150,56 +150,57 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, fingerprint string")
 
 
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first (edge 1) and the last row (edge 2) of a partition."""
+    last: pa.RecordBatch | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        if last is None:
+            yield pa.RecordBatch.from_arrays([*b.slice(0, 1).columns, pa.array([1], pa.int32())], ["key", "text", "hash", "edge"])
+        last = b.slice(b.num_rows - 1, 1)
+    if last is not None:
+        yield pa.RecordBatch.from_arrays([*last.columns, pa.array([2], pa.int32())], ["key", "text", "hash", "edge"])
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Facts of every row of a sorted partition but the last."""
+    held: _Row | None = None
+    for b in batches:
+        made, keys = [], []
+        for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            row = _Row(k, t)
+            if held is not None:
+                made.append(held.facts(row))
+                keys.append(held.key)
+            held = row
+        yield _batch(pa.array(keys, b.column(0).type), made)
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Facts of rows (key, text, following)."""
+    for b in batches:
+        made = [_Row(None, t).facts(_Row(None, f)) for t, f in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+        yield _batch(b.column(0), made)
+
+
+def _batch(keys: pa.Array, made: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*made)) if made else [()] * len(_NAMES)
+    return pa.RecordBatch.from_arrays([keys, *(pa.array(c, k) for c, k in zip(columns, _KINDS))], ["key", *_NAMES])
+
+
 def with_following(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row's fingerprint, that of its edited text, and likenesses to it and to the next row by key.
 
-    One range shuffle puts neighbours together; the last row of a partition meets the first of the next one in a
-    second, small step (two rows a partition).
+    One range shuffle puts neighbours together. The last row of each partition meets the first of the next one by a
+    window over these rows, two a partition, which read the same shuffle.
     """
-    spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
-    laid = rows.repartitionByRange(partitions(spark), "key").sortWithinPartitions("key", "hash")
-
-    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(made: list[tuple]) -> pa.RecordBatch:
-            columns = list(zip(*made)) if made else [()] * 10
-            kinds = (key_type[0], pa.int64(), pa.int32(), pa.string(), *_KINDS)
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["key", "hash", "edge", "text", *_NAMES])
-
-        held: _Row | None = None
-        key_type: list = []
-        for b in batches:
-            key_type = key_type or [b.column(0).type]
-            made: list[tuple] = []
-            for k, t, h in zip(*(b.column(i).to_pylist() for i in (0, 1, 2))):
-                row = _Row(k, h, t)
-                if held is None:
-                    made.append((k, h, 1, t, *[None] * 6))
-                else:
-                    made.append((held.key, held.hash, 0, None, *held.facts(row)))
-                held = row
-            yield out(made)
-        if held is not None:
-            yield out([(held.key, held.hash, 2, held.text, *[None] * 6)])
-
-    first = stage(laid.mapInArrow(inner, f"key {kind}, hash bigint, edge int, text string, {_FACTS}"), "fingerprints")
-    edges = first.where("edge > 0").select("key", "hash", "edge")
-    order = Window.orderBy(F.col("key").asc_nulls_first(), "hash", "edge")  # two narrow rows a partition
-    placed = edges.withColumn("place", F.row_number().over(order)).withColumn("all", F.count(F.lit(1)).over(Window.partitionBy()))
-    placed = stage(placed, "fingerprints-edges")
-    tails = placed.where("edge = 2").select("key", "hash", "edge", F.pmod("place", "all").alias("next"))
-    heads = placed.where("edge = 1").select(F.col("key").alias("k"), F.col("hash").alias("h"), (F.col("place") - 1).alias("next"))
-    texts = first.where("edge > 0").select("key", "hash", "edge", "text")
-    tail_text = tails.join(texts.where("edge = 2").select(F.col("key").alias("tk"), F.col("hash").alias("th"), "text"), F.col("key").eqNullSafe(F.col("tk")) & (F.col("hash") == F.col("th")))
-    head_text = heads.join(texts.where("edge = 1").select(F.col("key").alias("tk"), F.col("hash").alias("th"), F.col("text").alias("following")), F.col("k").eqNullSafe(F.col("tk")) & (F.col("h") == F.col("th")))
-    ends = tail_text.join(head_text.select("next", "following"), "next").select("key", "text", "following")
-
-    def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made = [_Row(None, None, t).facts(_Row(None, None, f)) for t, f in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            columns = list(zip(*made)) if made else [()] * 6
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, _KINDS))], ["key", *_NAMES])
-
-    last = ends.mapInArrow(outer, f"key {kind}, {_FACTS}")
-    return first.where("edge = 0").select("key", *_NAMES).unionByName(last).withColumnRenamed("key", key)
+    laid = rows.repartitionByRange(partitions(docs.sparkSession), "key").sortWithinPartitions("key", "hash")
+    inside = laid.mapInArrow(_neighbours, f"key {kind}, {_FACTS}")
+    edges = laid.mapInArrow(_ends, f"key {kind}, text string, hash bigint, edge int")
+    order = Window.orderBy(F.col("key").asc_nulls_first(), "hash", "edge")
+    following = F.coalesce(F.lead("text").over(order), F.first("text").over(order))
+    last = edges.withColumn("following", following).where("edge = 2").select("key", "text", "following")
+    return inside.unionByName(last.mapInArrow(_pairs, f"key {kind}, {_FACTS}")).withColumnRenamed("key", key)
