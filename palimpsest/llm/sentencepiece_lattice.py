@@ -18,6 +18,7 @@ and `token_ids` (or `decoded`) replaces a column of that name.
 from __future__ import annotations
 
 import heapq
+import math
 import re
 from array import array
 from collections.abc import Iterator
@@ -37,8 +38,10 @@ MARK = "▁"
 WORD = f"{MARK}*[^{MARK}]+|{MARK}+"
 #: Words encoded relationally, and their greatest length.
 LEXICON, LENGTH = 65_536, 32
+#: Characters up to which a word is merged by scanning its pairs.
+SHORT = 48
 #: Words that a task remembers.
-REMEMBER = 150_000
+REMEMBER = 300_000
 
 
 @dataclass(frozen=True)
@@ -75,6 +78,10 @@ class Pieces:
         other = self.silent | {self.unknown} | set(self.byte_ids)
         return {t: i for i, t in enumerate(self.text) if i not in other}
 
+    @cached_property
+    def cost(self) -> dict[str, float]:
+        return {t: -self.score[i] for t, i in self.normal.items()}
+
     @cached_property
     def longest(self) -> int:
         return max(map(len, self.normal))
@@ -84,8 +91,8 @@ class Pieces:
         return [self.byte_ids[b] for b in char.encode()] if self.byte_ids else [self.unknown]
 
     def encode_word(self, word: str) -> list[int]:
-        ids, score = self.normal, self.score
-        whole = _viterbi(word, self) if self.unigram else _merged(word, ids, score)
+        ids = self.normal
+        whole = _viterbi(word, self) if self.unigram else _merged(word, self.cost) if len(word) > SHORT else _merged_short(word, self.cost)
         return [i for p in whole for i in ([ids[p]] if p in ids else self.spell(p))]
 
     @cached_property
@@ -110,12 +117,28 @@ class Pieces:
         return pc.if_else(tokens.is_valid(), out, None)
 
 
-def _merged(word: str, ids: dict[str, int], score: tuple[float, ...]) -> list[str]:
+def _merged_short(word: str, cost: dict[str, float]) -> list[str]:
     """Pieces of a word by merging the best neighbours, leftmost of equals, until none make a piece."""
+    part, get = list(word), cost.get
+    pair = [get(a + b, math.inf) for a, b in zip(part, part[1:])]
+    while pair and (best := min(pair)) < math.inf:
+        i = pair.index(best)
+        p = part[i] + part[i + 1]
+        part[i : i + 2] = [p]
+        del pair[i]
+        if i:
+            pair[i - 1] = get(part[i - 1] + p, math.inf)
+        if i < len(pair):
+            pair[i] = get(p + part[i + 1], math.inf)
+    return part
+
+
+def _merged(word: str, cost: dict[str, float]) -> list[str]:
+    """The same for long words, in n log n."""
     n = len(word)
     part: list[str] = list(word)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    heap = [(-score[ids[p]], i, p) for i in range(n - 1) if (p := part[i] + part[i + 1]) in ids]
+    heap = [(cost[p], i, p) for i in range(n - 1) if (p := part[i] + part[i + 1]) in cost]
     heapq.heapify(heap)
     while heap:
         _, i, p = heapq.heappop(heap)
@@ -126,10 +149,10 @@ def _merged(word: str, ids: dict[str, int], score: tuple[float, ...]) -> list[st
         after[i] = k = after[j]
         if k < n:
             before[k] = i
-            if (q := p + part[k]) in ids:
-                heapq.heappush(heap, (-score[ids[q]], i, q))
-        if (h := before[i]) >= 0 and (q := part[h] + p) in ids:
-            heapq.heappush(heap, (-score[ids[q]], h, q))
+            if (q := p + part[k]) in cost:
+                heapq.heappush(heap, (cost[q], i, q))
+        if (h := before[i]) >= 0 and (q := part[h] + p) in cost:
+            heapq.heappush(heap, (cost[q], h, q))
     return [p for p in part if p]
 
 

@@ -37,6 +37,13 @@ def test_words_are_encoded_and_decoded_as_by_the_library(pieces, theirs):
     assert pieces.decode(pa.array([bad], pa.list_(pa.int32()))).to_pylist() == [theirs.decode(bad)]
 
 
+def test_both_ways_to_merge_agree(pieces):
+    rng = random.Random(5)
+    for _ in range(300):
+        w = L.MARK + "".join(rng.choice("aaeeinrstolhdu▁-=1") for _ in range(rng.randint(0, 60)))
+        assert L._merged(w, pieces.cost) == L._merged_short(w, pieces.cost)
+
+
 def test_relational_lattice_equals_the_library(spark, pieces, theirs):
     words = sorted({w for t in texts() for w in t.split() if len(w) <= L.LENGTH - 1})
     df = spark.createDataFrame([(L.MARK + w,) for w in words], "word string")
