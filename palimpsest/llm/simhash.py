@@ -118,9 +118,9 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     ready: DataFrame | None = None
     while True:
         rows = stage(rows.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("part"), "fp"), "simhash-buckets")
-        sizes = rows.groupBy("mask", "part").count().where(F.col("count") > BUCKET).select("mask", "part")
         deeper = {_signed(m): [_signed(x) for x in _split(m, groups)] for m in masks if bin(m).count("1") <= 48}
-        hot = stage(sizes, "simhash-hot")
+        sizes = rows.groupBy("mask", "part").count().where((F.col("count") > BUCKET) & F.col("mask").isin(list(deeper)))
+        hot = stage(sizes.select("mask", "part"), "simhash-hot")
         if not deeper or hot.isEmpty():
             ready = rows if ready is None else ready.unionByName(rows)
             break

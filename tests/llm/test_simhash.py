@@ -1,4 +1,5 @@
 import random
+from itertools import combinations
 
 import numpy as np
 import xxhash
@@ -52,6 +53,19 @@ def test_links_cut_hot_buckets_and_lose_none(spark, monkeypatch):
     assert all(len(g) == 1 for g in groups.values()) and len({min(g) for g in groups.values()}) == len(groups)
 
 
+def test_hot_buckets_of_masks_that_are_not_cut_are_compared(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BUCKET", 1)
+    fifth = simhash.first_masks(2, 3)
+    for _ in range(4):
+        fifth = sorted({x for m in fifth for x in simhash._split(m, 4)})
+    cut = np.array([m for m in fifth if bin(m).count("1") <= 48], dtype=np.uint64)
+    # two fingerprints that differ in three bits and agree on no mask of the fifth level that is cut again
+    apart = next((x for x in (sum(1 << b for b in c) for c in combinations(range(64), 3)) if (cut & np.uint64(x)).all()), None)
+    assert apart is not None
+    fps = spark.createDataFrame([(0,), (simhash._signed(apart),)], "fp bigint")
+    assert {frozenset(r) for r in simhash.links(fps).collect()} == {frozenset((0, simhash._signed(apart)))}
+
+
 def expected(text):
     w = (text or "").encode().lower().split()
     s = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([b" ".join(w)] if w else [])
