@@ -17,14 +17,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    tests = [(r, i, c) for r, (_, ladder) in RULES.items() for i, c in enumerate(ladder)]
-    duck = {r: e.replace("100.0D", "100.0::DOUBLE") for r, (e, _) in RULES.items()}
-    cells = " UNION ALL ".join(
-        f"SELECT stratum, count(*) FILTER (quality = 1) AS n, '{r}' AS rule, {i} AS step, {c}::DOUBLE AS cut, count(*) FILTER (quality = 0 AND {duck[r]} > {c}::DOUBLE) AS bad, count(*) FILTER (quality = 1 AND {duck[r]} > {c}::DOUBLE) AS good FROM held GROUP BY stratum"
-        for r, i, c in tests
-    )
-    hits = ", ".join(f"CASE WHEN n_words > 0 AND {duck[r].replace(' / ', ' / nullif(') + ', 0)'} > (SELECT cut FROM best b WHERE b.rule = '{r}' AND b.stratum IS NOT DISTINCT FROM d.stratum) THEN '{r}' END" for r in RULES)
-    p = RISK / len(RULES)
+    ratio = {r: e.replace("100.0D", "100.0::DOUBLE").replace(" / ", " / nullif(") + ", 0)" for r, (e, _) in RULES.items()}
+    steps = {r: "CASE " + " ".join(f"WHEN {ratio[r]} > {c}::DOUBLE THEN {i * len(RULES) + k}" for i, c in enumerate(RULES[r][1])) + " END" for k, r in enumerate(RULES)}
+    first = f"least({', '.join(steps.values())})"
+    hits = ", ".join(f"CASE WHEN {x} <= last THEN '{r}' END" for r, x in steps.items())
+    p = RISK
     return rf"""
 WITH parts AS (
   SELECT doc_id, lang AS stratum, coalesce(text, '') AS text,
@@ -48,22 +45,36 @@ WITH parts AS (
   FROM grams LEFT JOIN covered USING (rid)
 ), based AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM stats
+), firsts AS (
+  SELECT *, {first} AS first FROM based
 ), known AS (
   SELECT doc_id, max(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id
 ), held AS (
-  SELECT * FROM based JOIN known USING (doc_id) WHERE NOT base_failed
+  SELECT * FROM firsts JOIN known USING (doc_id) WHERE NOT base_failed
 ), cells AS (
-  {cells}
+  SELECT false AS pooled, stratum, first, quality FROM held UNION ALL SELECT true, NULL, first, quality FROM held
+), sizes AS (
+  SELECT pooled, stratum, count(*) FILTER (quality = 1) AS n FROM cells GROUP BY pooled, stratum
+), levels AS (
+  SELECT *, {DELTA}::DOUBLE / count(*) OVER () AS level FROM sizes
+), configurations AS (
+  SELECT unnest(range(0, {len(RULES) * len(next(iter(RULES.values()))[1])})) AS k
+), counts AS (
+  SELECT pooled, stratum, k, count(*) FILTER (quality = 1 AND first <= k) AS good, count(*) FILTER (quality = 0 AND first <= k) AS bad
+  FROM cells, configurations GROUP BY pooled, stratum, k
 ), tested AS (
-  SELECT *, bad - {COST} * good AS gain,
+  SELECT c.*, l.n, l.level, bad - {COST} * good AS gain,
     CASE WHEN good >= n * {p!r}::DOUBLE THEN 1.0 ELSE list_sum(list_transform(range(0, good + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({p!r}::DOUBLE) + (n - j) * ln(1 - {p!r}::DOUBLE)))) END AS tail
-  FROM cells
+  FROM counts c JOIN levels l ON c.pooled = l.pooled AND c.stratum IS NOT DISTINCT FROM l.stratum
 ), best AS (
-  SELECT stratum, rule, arg_max(cut, gain * 1000 - step) AS cut FROM tested
-  WHERE gain > 0 AND tail <= {DELTA} / ((SELECT count(*) FROM (SELECT DISTINCT stratum FROM held)) * {len(tests)})
-  GROUP BY stratum, rule
+  SELECT pooled, stratum, arg_max(k, gain * 1000 - k) AS last FROM tested WHERE gain > 0 AND tail <= level GROUP BY pooled, stratum
+), chosen AS (
+  SELECT f.*, CASE WHEN pow(1 - {p!r}::DOUBLE, l.n) <= l.level THEN b.last ELSE (SELECT max(last) FROM best WHERE pooled) END AS last
+  FROM firsts f
+  LEFT JOIN levels l ON NOT l.pooled AND l.stratum IS NOT DISTINCT FROM f.stratum
+  LEFT JOIN best b ON NOT b.pooled AND b.stratum IS NOT DISTINCT FROM f.stratum
 ), judged AS (
-  SELECT d.*, list_filter([{hits}], lambda x: x IS NOT NULL) AS hits FROM based d
+  SELECT *, list_filter([{hits}], lambda x: x IS NOT NULL) AS hits FROM chosen
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND len(hits) = 0 AS kept, coalesce(array_to_string(hits, ','), '') AS rejected_by

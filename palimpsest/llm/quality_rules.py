@@ -1,20 +1,28 @@
 """Quality rules with risk-controlled cutoffs.
 
-Each rule is a statistic of a text that grows with junk, and a fixed ladder of cutoffs. Documents whose
-quality is labelled are the holdout: for each stratum (language), rule and cutoff it is tested, with the
-exact binomial distribution, that the rule rejects more than `risk / rules` of the good documents. A
-cutoff is admissible if that hypothesis is refuted at level `delta / (strata * rules * cutoffs)`
-(Bonferroni). So with probability 1 - delta no stratum loses more than `risk` of its good documents to all
-rules together. Among admissible cutoffs the one with the best gain (bad documents rejected less five
-times the good ones) is used, the laxest of equals; a rule without an admissible cutoff that gains stays off,
-as it does where a stratum has too few labels.
-
-Only DataFrame functions are used. Statistics are computed once for each row and staged; the counts are
-partial sums on (stratum), so a hot stratum costs nothing.
-
-Defined results: null and empty texts have no words and fail the base rules; a null stratum is a stratum of
-its own; of repeated labels the larger counts; without labels only the base rules hold; repeated rows each
-get their verdict; further columns are ignored.
+Each rule is a statistic of a text that grows with junk, and a fixed ladder of cutoffs. The ladders are merged into one
+stated sequence of configurations: step by step the rules, in their order, take their next stricter cutoff, so every
+configuration rejects what the one before rejects, and more. A document's `first` is the earliest configuration that
+rejects it.
+
+Documents whose quality is labelled are the holdout. In each stratum (language) configurations are tested in sequence,
+with the exact binomial distribution: is it refuted, at level `delta / (strata + 1)`, that the configuration rejects
+more than `risk` of the good documents? False rejections only grow along the sequence, so testing stops at the first
+configuration that is not refuted and needs no further factor for the number of rules and cutoffs; strata and the pooled
+one share `delta` (Bonferroni). With probability 1 - delta no stratum loses more than `risk` of its good documents to all
+rules together. Of the admissible configurations the one of best gain (bad documents rejected less `COST` times the good
+ones) is used, the laxest of equals, none if none gains.
+
+With n good documents and none rejected the least risk that can be refuted is 1 - level ** (1 / n) (`attainable`): 2 % at
+level 0.01 takes 228. A stratum with fewer uses the configuration of the pooled stratum of all languages, whose promise is
+about all good documents together; if that is too small as well, the rules stay off.
+
+Only DataFrame functions are used. Statistics are computed once for each row and staged; the counts are partial sums on
+(stratum, first), so a hot stratum costs nothing.
+
+Defined results: null and empty texts have no words and fail the base rules; a null stratum is a stratum of its own; of
+repeated labels the larger counts; without labels only the base rules hold; a stratum without labels is a small one;
+repeated rows each get their verdict; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -120,28 +128,61 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
     return F.when(k >= n * p, F.lit(1.0)).otherwise(F.exp(top) * F.aggregate(steps, start, fold)["sum"])
 
 
+def _ratio(rule: str) -> Column:
+    over, under = RULES[rule][0].split(" / ")
+    return F.expr(f"{over} / nullif({under}, 0)")
+
+
+def rejecting_step(rule: str) -> Column:
+    """The first step of a rule's ladder that rejects the row; null if none does."""
+    value = _ratio(rule)
+    return F.coalesce(*(F.when(value > c, F.lit(i)) for i, c in enumerate(RULES[rule][1])))
+
+
+def first_rejecting() -> Column:
+    """The first configuration that rejects the row, null if none: step * rules + place of the rule."""
+    return F.least(*(rejecting_step(r) * len(RULES) + k for k, r in enumerate(RULES)))
+
+
+def attainable(n: int, level: float) -> float:
+    """The least risk that n good documents can refute at a level, when none is rejected."""
+    return 1 - level ** (1 / n) if n else 1.0
+
+
 def calibrate(stats: DataFrame, labels: DataFrame, key: str = "doc_id", risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """One row a stratum: for each rule its cutoff (null: the rule is off). labels: key, quality 0/1."""
+    """One row a stratum and one for all (pooled true): n good documents, level, attainable risk and the last configuration that holds (null: none).
+
+    stats: columns of `statistics` and `first`; labels: key, quality 0/1.
+    """
     known = labels.where("quality IS NOT NULL").groupBy(F.col(key).alias("label_key")).agg(F.max("quality").alias("quality"))
     held = stats.where(~base_failed()).join(known, F.col("doc_id") == F.col("label_key"))
-    tests = [(r, i, c) for r, (_, ladder) in RULES.items() for i, c in enumerate(ladder)]
-    sums = [F.count_if(F.expr(f"({RULES[r][0]}) > {c}D") & (F.col("quality") == q)).alias(f"{r}_{i}_{q}") for r, i, c in tests for q in (0, 1)]
-    counts = held.groupBy("stratum").agg(F.count_if(F.col("quality") == 1).alias("n"), *sums)
-    cells = F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(i).alias("step"), F.lit(c).alias("cut"), F.col(f"{r}_{i}_0").alias("bad"), F.col(f"{r}_{i}_1").alias("good")) for r, i, c in tests))
-    counts = counts.withColumn("strata", F.count(F.lit(1)).over(Window.partitionBy()))  # one row a stratum
-    each = stage(counts.select("stratum", "n", "strata", F.explode(cells).alias("c")).select("stratum", "n", "strata", "c.*"), "rules-counts")
-    level = F.lit(delta) / (F.col("strata") * F.lit(len(tests)))
+    cells = held.groupBy("stratum", "first").agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad"))
+    cells = stage(cells, "rules-counts")  # strata times configurations
+    every = cells.groupBy("first").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    cells = cells.withColumn("pooled", F.lit(False)).unionByName(every.withColumns({"pooled": F.lit(True), "stratum": F.lit(None).cast(stats.schema["stratum"].dataType)}))
+    sizes = cells.groupBy("pooled", "stratum").agg(F.sum("good").alias("n"))
+    sizes = sizes.withColumn("level", F.lit(delta) / F.count(F.lit(1)).over(Window.partitionBy()))  # one row a stratum
+    sizes = sizes.withColumn("attainable", F.when(F.col("n") > 0, 1 - F.pow("level", 1 / F.col("n"))).otherwise(1.0))
+    so_far = Window.partitionBy("pooled", "stratum").orderBy("first")
+    steps = cells.where("first IS NOT NULL").withColumns({"good": F.sum("good").over(so_far), "bad": F.sum("bad").over(so_far)})
+    same = [F.col("pooled") == F.col("p"), F.col("stratum").eqNullSafe(F.col("s"))]
+    tested = steps.join(sizes.select(F.col("pooled").alias("p"), F.col("stratum").alias("s"), "n", "level"), same[0] & same[1]).drop("p", "s")
     gain = F.col("bad") - COST * F.col("good")
-    safe = each.withColumn("gain", gain).where("gain > 0").where(binomial_tail(F.col("n"), F.col("good"), risk / len(RULES)) <= level)
-    best = safe.groupBy("stratum", "rule").agg(F.max_by("cut", F.struct("gain", -F.col("step"))).alias("cut"))
-    return best.groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == r, F.col("cut"))).alias(f"cut_{r}") for r in RULES))
+    safe = tested.withColumn("gain", gain).where("gain > 0").where(binomial_tail(F.col("n"), F.col("good"), risk) <= F.col("level"))
+    best = safe.groupBy(F.col("pooled").alias("p"), F.col("stratum").alias("s")).agg(F.max_by("first", F.struct("gain", -F.col("first"))).alias("last"))
+    return sizes.join(best, same[0] & same[1], "left").select("pooled", "stratum", "n", "level", "attainable", "last")
 
 
-def apply_rules(docs: DataFrame, labels: DataFrame, key: str = "doc_id", stratum: str = "lang") -> DataFrame:
+def apply_rules(docs: DataFrame, labels: DataFrame, key: str = "doc_id", stratum: str = "lang", risk: float = RISK) -> DataFrame:
     """Counts, base_failed, the rules that reject, and kept, for every row of docs."""
-    stats = stage(statistics(docs, key, "text", stratum), "rules-statistics")
-    cutoffs = small(stage(calibrate(stats, labels, key), "rules-cutoffs").withColumnRenamed("stratum", "s"))
-    judged = stats.join(cutoffs, F.col("stratum").eqNullSafe(F.col("s")), "left").withColumn("base_failed", base_failed())
-    hit = [F.when((F.col("n_words") > 0) & (F.expr(f"({RULES[r][0].replace(' / ', ' / nullif(').strip() + ', 0)'})") > F.col(f"cut_{r}")), F.lit(r)) for r in RULES]
+    stats = stage(statistics(docs, key, "text", stratum).withColumn("first", first_rejecting()), "rules-statistics")
+    found = stage(calibrate(stats, labels, key, risk), "rules-configurations")
+    large = F.pow(F.lit(1 - risk), "n") <= F.col("level")
+    own = small(found.where("NOT pooled").select(F.col("stratum").alias("s"), large.alias("large"), F.col("last").alias("own")))
+    every = found.where("pooled").agg(F.max("last")).first()[0]  # one number
+    judged = stats.join(own, F.col("stratum").eqNullSafe(F.col("s")), "left")
+    last = F.when(F.coalesce("large", F.lit(False)), F.col("own")).otherwise(F.lit(every).cast("int"))
+    judged = judged.withColumn("last", last).withColumn("base_failed", base_failed())
+    hit = [F.when(rejecting_step(r) * len(RULES) + k <= F.col("last"), F.lit(r)) for k, r in enumerate(RULES)]
     judged = judged.withColumn("rejected_by", F.filter(F.array(*hit), lambda x: x.isNotNull()))
     return judged.withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0))

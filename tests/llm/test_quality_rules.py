@@ -42,19 +42,41 @@ def test_cutoffs_keep_the_promised_risk(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8)))
     rows, labels = [], []
-    for i in range(4500):
+    for i in range(1100):
         junk = i % 5 == 0
-        lang = "en" if i < 4400 else None
+        lang = "en" if i < 1000 else None
         rows.append((i, " ".join(word() + ("##" if junk else "") for _ in range(60)), lang))
         labels.append((i, int(not junk)))
-    rows += [(9000, None, "en"), (9001, "", None), (None, "one", "fr"), (3, rows[3][1], "en")]
+    rows += [(9000, None, "en"), (9001, "", None), (None, "one", "fr"), (3, rows[3][1], "en"), (9002, rows[0][1], "fr")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     lab = spark.createDataFrame([*labels, (3, None), (4, 0)], "doc_id bigint, quality int")
     out = Q.apply_rules(docs, lab).collect()
     assert len(out) == len(rows)
-    english = [r for r in out if r.stratum == "en" and r.doc_id is not None and r.doc_id < 4400]
-    assert all(r.kept == (r.doc_id % 5 != 0) for r in english)
-    assert all(not r.rejected_by for r in out if r.stratum != "en")  # too few labels to promise anything
+    # 800 good documents suffice for English; null and French, too few, take the pooled configuration
+    assert all(r.kept == (r.doc_id % 5 != 0) for r in out if r.doc_id is not None and r.doc_id < 1100)
+    assert {r.stratum for r in out if r.rejected_by} == {"en", None, "fr"}
     assert all(r.base_failed and not r.kept for r in out if r.doc_id in (9000, 9001, None))
     bare = Q.apply_rules(docs, lab.where("false")).where("NOT base_failed AND NOT kept").count()
     assert bare == 0 and Q.apply_rules(docs.where("false"), lab).count() == 0
+    few = Q.apply_rules(docs, lab.where("doc_id < 200")).where("NOT base_failed AND NOT kept").count()
+    assert few == 0  # 160 good documents refute nothing
+
+
+def test_too_strict_configurations_are_chosen_no_oftener_than_delta(spark):
+    """300 strata of 400 good documents, of which the last configurations reject more than the risk."""
+    strata, n, rng = 300, 400, random.Random(5)
+    share = {5: 0.002, 11: 0.012, 17: 0.02, 23: 0.035}  # configuration: share of good documents it rejects
+    rows, labels = [], []
+    for s in range(strata):
+        for i in range(n + 200):
+            u = rng.random()
+            first = next((k for k, x in share.items() if u < x), None) if i < n else 23
+            rows.append((s * 1000 + i, str(s), 100, 0, first))
+            labels.append((s * 1000 + i, int(i < n)))
+    stats = spark.createDataFrame(rows, "doc_id bigint, stratum string, n_words bigint, n_repeat_words bigint, first int")
+    lab = spark.createDataFrame(labels, "doc_id bigint, quality int")
+    got = Q.calibrate(stats, lab, risk=0.0199, delta=0.05 * (strata + 1)).where("NOT pooled").collect()
+    wrong = sum(r.last is not None and share[r.last] > 0.0199 for r in got)
+    assert all(abs(r.level - 0.05) < 1e-9 for r in got) and wrong <= 0.05 * strata + 3 * math.sqrt(0.05 * strata)
+    strict = Q.calibrate(stats, lab, risk=0.06, delta=0.05 * (strata + 1)).where("NOT pooled").collect()
+    assert sum(r.last == 23 for r in strict) > strata / 2  # where the risk allows it, the configuration that gains is found
