@@ -1,5 +1,8 @@
-import math
+import os
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -31,10 +34,41 @@ def test_phrases_equal_brute_force():
             assert got[n, j] == brute_phrases(t, sample)
 
 
-def test_stretches_cover_long_texts():
+def test_long_texts_are_parsed_as_a_whole():
     model = L.fit({"a": ["abc" * 100]})
-    assert model.phrases(["abc" * 1000])[0, 0] == math.ceil(3000 / L.STRETCH)  # a phrase ends with its stretch only
+    assert model.phrases(["abc" * 1000])[0, 0] == 10  # phrases are longer than a stretch
     assert np.array_equal(model.phrases([]), np.zeros((1, 0)))
+    rng = random.Random(5)
+    stems = ["tion ", "the ", "ing", "er", "sch", "ü", "q"]
+    samples = {"one": ["".join(rng.choice(stems) for _ in range(400))], "two": ["".join(rng.choice(stems[2:]) for _ in range(300))]}
+    model = L.fit(samples)
+    base = L.normal(samples["one"][0])
+    texts = ["".join(rng.choice(stems) for _ in range(4000)), base, base * 4, base + "q " * 300 + base, "q" * 700, "x" * 600]
+    texts = [L.normal(t) for t in texts]
+    assert len(texts[0]) > 10_000
+    got = model.phrases(texts)
+    for n, name in enumerate(model.names):
+        sample = "|".join(map(L.normal, samples[name]))
+        assert [int(x) for x in got[n]] == [brute_phrases(t, sample) for t in texts]
+
+
+def test_only_letters_count():
+    assert L.normal("²½ Ⅷ 12 _") == "" and L.normal("x² Äß-é") == "x äß é"
+
+
+def test_executors_need_not_have_the_library(tmp_path):
+    code = f"""
+import sys
+sys.path.insert(0, {str(Path(L.__file__).parents[2])!r})
+from pyspark.sql import SparkSession, functions as F
+s = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", {str(tmp_path)!r}).getOrCreate()
+from palimpsest.llm.language import identify
+docs = s.createDataFrame([(1, "the thing", "en"), (2, "das ding", "de"), (3, "²", "en")], "doc_id bigint, text string, lang string")
+print(sorted((r.doc_id, r.lang_pred) for r in identify(docs, F.lit(True)).collect()))
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert "[(1, 'en'), (2, 'de'), (3, 'und')]" in out.stdout, out.stderr[-2000:]
 
 
 def test_held_out_languages_and_edges(spark):
