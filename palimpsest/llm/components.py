@@ -1,7 +1,8 @@
 """Connected components of a link table by alternating large-star and small-star steps.
 
 Every round is two aggregations and joins, staged in the shared folder; the number of rounds grows with the
-logarithm of the number of nodes. No link or label comes to the driver, only a count and a checksum.
+logarithm of the number of nodes. The least neighbours are staged before they are joined, so the links of a hub are
+read as they lie (or split as a skewed key) and never meet in one task. No link or label comes to the driver, only a count and a checksum.
 """
 
 from __future__ import annotations
@@ -9,15 +10,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import small, stage
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
     """links (a, b), a > b. Links each node's larger (large) or smaller neighbours and itself to their least one."""
     a, b = F.col("a"), F.col("b")
     near = links.unionByName(links.select(b.alias("a"), a.alias("b"))) if large else links
-    least = near.groupBy("a").agg(F.min(F.least("a", "b")).alias("least"))
-    moved = near.join(least, "a")
+    least = stage(near.groupBy("a").agg(F.min(F.least("a", "b")).alias("least")), "components-least")
+    moved = near.join(small(least), "a")
     if large:
         out = moved.where(b > a).select(b.alias("a"), F.col("least").alias("b"))
     else:
