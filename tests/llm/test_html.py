@@ -41,7 +41,69 @@ def test_template_of_hosts_without_articles(spark):
     assert {i: out[i].text for i in want} == want and all(out[100 + k].text == want[1] for k in range(200))
     assert [out[k].text for k in (500, 501, 502)] == ["alone", "", ""] and out[503].text.count("w") == 30_000
     assert out[None].text.startswith("Big & small") and out[500].url is None
-    classes, _ = H.deduce(pages)
-    one = {(r.first, r.last, r.outer_first) for r in H.nested(classes).where("host = 'one.example'").collect()}
-    assert one and classes.where("whole AND host = 'one.example'").groupBy().sum("members").first()[0] >= 4
     assert H.main_text(pages.where("false")).count() == 0
+
+
+def test_class_names_are_matched_whole():
+    for page in (
+        '<html><body class="home has-sidebar"><article><p>Text</p></article></body></html>',
+        '<html class="no-js cookie-ok"><body><article><p>Text</p></article></body></html>',
+        '<div class="header-wrap"><main><p>Text</p></main></div>',
+        '<article class="post no-comments"><p>Text</p></article>',
+    ):
+        assert H.extract(page) == "Text"
+    assert H.extract('<div><p>Text</p></div><div class="x Cookie-Banner"><p>Ok?</p></div><div id=comments-list><p>Hm</p></div>') == "Text"
+
+
+def test_articles():
+    page = "<main><article><h1>Head</h1><p>" + "word " * 50 + "</p><article class=comment>Reader</article><p>x <math><mi>a</mi><mo>=</mo></math> <button>Push</button><noscript>Off</noscript></p></article>"
+    assert H.extract(page + "<article class=card><h2>Teaser</h2></article></main>") == "Head\n\n" + " ".join(["word"] * 50) + "\n\nx a= Push\n\nOff"
+    two = "<article>" + "a " * 30 + "</article><article>" + "b " * 30 + "</article>"
+    assert H.extract(two) == " ".join("a" * 30) + "\n\n" + " ".join("b" * 30)
+
+
+def layouts(rng):
+    """Two layouts on one host; no element or class name tells the constant parts."""
+    pages, want = [], []
+    for i in range(30):
+        text = [" ".join(str(rng.random()) for _ in range(6)) for _ in range(rng.randint(2, 4))]
+        if i % 3 == 0:
+            text.insert(1, "A quoted paragraph.")  # on ten pages of both layouts, but of no element's vector
+        paragraphs = "".join(f"<p>{t}</p>" for t in text)
+        if i % 2:
+            page = f"<body><div class=a1><p>Alpha shop</p></div><article>{paragraphs}<div class=a2><p>Read more at Alpha</p></div></article></body>"
+        else:
+            page = f"<body><article><section class=b1><p>Beta wire</p></section>{paragraphs}</article></body>"
+        pages.append(page)
+        want.append("\n\n".join(text))
+    return pages, want
+
+
+def brute_classes(pages):
+    """(pages, elements, texts) of all classes with an element and a text, by comparing whole vectors."""
+    read = [H.read(p)[1] for p in pages]
+    kind = {t: b is None for page in read for t, b in page}
+    vector = {t: tuple(sum(x == t for x, _ in page) for page in read) for t in kind}
+    groups = {}
+    for t, v in vector.items():
+        groups.setdefault(v, []).append(kind[t])
+    return sorted((sum(map(bool, v)), sum(g), len(g) - sum(g)) for v, g in groups.items() if sum(map(bool, v)) >= H.SUPPORT and 0 < sum(g) < len(g))
+
+
+def test_layouts_are_told_apart_by_their_vectors(spark):
+    pages, want = layouts(random.Random(2))
+    df = spark.createDataFrame([(i, "http://h.example/", p) for i, p in enumerate(pages)], "page_id bigint, url string, html string")
+    out = {r.page_id: r.text for r in H.main_text(df).collect()}
+    assert [out[i] for i in range(len(pages))] == want
+    classes, _ = H.deduce(df)
+    assert sorted(tuple(r) for r in classes.select("support", "elements", "texts").collect()) == brute_classes(pages)
+    # without the classes nothing is constant
+    assert all(len(H.extract(p)) > len(out[i]) for i, p in enumerate(pages))
+
+
+def test_interleaved_classes_are_dropped():
+    template = {1: (0, True), 2: (0, True), 3: (1, True), 4: (1, True), 5: (2, True), 6: (2, True)}
+    assert H.nested([1, 3, 4, 2, 9, 5], template) == ({0, 1, 2}, [0, 1, 2, 3, 5])
+    assert H.nested([1, 3, 2, 4, 5, 6], template) == ({0, 2}, [0, 2, 4, 5])
+    assert H.nested([3, 1, 2, 4], template)[0] == {0, 1}
+    assert H.nested([], template) == (set(), [])
