@@ -9,20 +9,39 @@ from pyspark.sql import functions as F
 QUERY_ROWS = 200_000
 
 
-def bounded(queries: DataFrame) -> DataFrame:
-    """queries marked for broadcast if they are few; a batch of queries is small beside the store."""
-    return F.broadcast(queries) if queries.limit(QUERY_ROWS + 1).count() <= QUERY_ROWS else queries
+def bounded(queries: DataFrame, *columns: str) -> DataFrame:
+    """queries (their columns), marked for broadcast if they are few; a batch of queries is small beside the store.
+
+    The rows of a DataFrame are counted once, however often it is asked for.
+    """
+    if "_few" not in queries.__dict__:
+        queries._few = queries.limit(QUERY_ROWS + 1).count() <= QUERY_ROWS
+    rows = queries.select(*columns) if columns else queries
+    return F.broadcast(rows) if queries._few else rows
+
+
+def like(rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """rows made from queries, a few for each, marked for broadcast if the queries are few."""
+    bounded(queries)
+    return F.broadcast(rows) if queries._few else rows
 
 
 def require_requester(queries: DataFrame) -> DataFrame:
-    """Fails at run time on a query without workspace or requester, before anything is returned for it."""
+    """Fails on a query without workspace or requester, before anything is returned for it."""
+    if queries.__dict__.get("_checked"):
+        return queries
+    if "_guarded" in queries.__dict__:
+        return queries._guarded
     ok = (F.coalesce("workspace_id", F.lit("")) != "") & (F.coalesce("requester", F.lit("")) != "")
-    return queries.where(F.when(ok, F.lit(True)).otherwise(F.raise_error(F.lit("workspace and requester are required")).cast("boolean")))
+    checked = queries.where(F.when(ok, F.lit(True)).otherwise(F.raise_error(F.lit("workspace and requester are required")).cast("boolean")))
+    checked._checked = True
+    queries._guarded = checked
+    return checked
 
 
 def readable(conversations: DataFrame, participants: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, conversation_id, scope) that a query's requester reads by scope alone."""
-    asked = bounded(queries.select("query_id", "workspace_id", "requester"))
+    asked = bounded(require_requester(queries), "query_id", "workspace_id", "requester")
     open_ = conversations.where(~F.col("deleted") & F.col("scope").isin("workspace", "participants")).select("workspace_id", "conversation_id", "scope")
     pairs = open_.join(asked, "workspace_id")
     present = participants.where(~F.col("left")).select("conversation_id", F.col("participant_key").alias("requester")).distinct().withColumn("takes_part", F.lit(True))
@@ -34,10 +53,15 @@ def reason(scope: Column) -> Column:
     return F.when(scope == "workspace", "workspace_scope").when(scope.isNotNull(), "conversation_participant").otherwise("explicit_acl")
 
 
+def grants(acl: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, unit_id): units that a query's requester reads by grant."""
+    granted = acl.where("permission = 'read'").select("unit_id", F.col("principal_key").alias("requester")).distinct()
+    return granted.join(bounded(require_requester(queries), "query_id", "requester"), "requester").select("query_id", "unit_id")
+
+
 def with_access(rows: DataFrame, seen: DataFrame, acl: DataFrame, queries: DataFrame) -> DataFrame:
     """rows (query_id, conversation_id, unit_id, ...) that may be read, with access_reason."""
-    granted = acl.where("permission = 'read'").select("unit_id", F.col("principal_key").alias("requester")).distinct()
-    granted = granted.join(bounded(queries.select("query_id", "requester")), "requester").select("query_id", "unit_id").withColumn("granted", F.lit(True))
+    granted = grants(acl, queries).withColumn("granted", F.lit(True))
     joined = rows.join(seen, ["query_id", "conversation_id"], "left").join(granted, ["query_id", "unit_id"], "left")
     return joined.where(F.col("scope").isNotNull() | F.col("granted")).withColumn("access_reason", reason(F.col("scope"))).drop("scope", "granted")
 
@@ -68,4 +92,4 @@ def rights(conversations: DataFrame, participants: DataFrame, callers: DataFrame
 
 
 def bounded_callers(callers: DataFrame) -> DataFrame:
-    return bounded(callers.select("caller", "workspace_id"))
+    return bounded(callers, "caller", "workspace_id")

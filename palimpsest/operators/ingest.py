@@ -134,7 +134,7 @@ def list_messages(messages: DataFrame, units: DataFrame, conversations: DataFram
     from .search import latest_units, top
 
     live = guard(messages.where(~F.col("deleted")), conversations)
-    rows = live.join(bounded(queries.select("query_id", "workspace_id")), "workspace_id")
+    rows = live.join(bounded(queries, "query_id", "workspace_id"), "workspace_id")
     own = latest_units(units).select(F.col("anchor_message_id").alias("message_id"), "unit_id")
     rows = with_access(rows.join(own, "message_id", "left"), seen, acl, queries)
     if after is not None:

@@ -21,15 +21,15 @@ messages AS (
 ), units AS (
   SELECT message_id + 1000000000 AS unit_id, workspace_id, conversation_id, message_id AS anchor_message_id,
     greatest(1, sequence_number - 2) AS start_sequence, sequence_number AS end_sequence, embedding, NOT deleted AS active, created_at AS updated_at
-  FROM messages JOIN embeddings ON vec_id = (conv_id * 17 + turn) % 500 WHERE role IN ('user', 'assistant')
+  FROM messages JOIN embeddings ON vec_id = (conv_id * 17 + turn) % (SELECT max(vec_id) + 1 FROM embeddings) WHERE role IN ('user', 'assistant')
 ), acl AS (
   SELECT unit_id, 'agent:guest' AS principal_key, 'read' AS permission FROM units
   WHERE anchor_message_id % 5 = 0 AND conversation_id IN (SELECT conversation_id FROM convs WHERE scope IN ('private', 'explicit'))
 ), queries AS (
-  SELECT vec_id AS query_id, 'ws' || ((vec_id // 50) % 3) AS workspace_id,
-    ['user:u4', 'agent:a1', 'agent:guest', 'user:u7'][((vec_id // 50) % 4 + 1)::INT] AS requester, embedding,
-    lower(string_split(c.text, ' ')[2]) AS query_text, ['nation:' || (vec_id // 50), 'customer:' || (vec_id // 50 + 1)] AS subjects
-  FROM embeddings LEFT JOIN conversations c ON c.conv_id = vec_id // 50 AND c.turn = 0 WHERE vec_id % 50 = 0 AND vec_id < 500
+  SELECT vec_id AS query_id, 'ws' || ((vec_id // 100) % 3) AS workspace_id,
+    ['user:u4', 'agent:a1', 'agent:guest', 'user:u7'][((vec_id // 100) % 4 + 1)::INT] AS requester, embedding,
+    lower(string_split(c.text, ' ')[2]) AS query_text, ['nation:' || (vec_id // 100), 'customer:' || (vec_id // 100 + 1)] AS subjects
+  FROM embeddings LEFT JOIN conversations c ON c.conv_id = vec_id // 100 AND c.turn = 0 WHERE vec_id % 100 = 0
 ), entities AS (
   SELECT 'region:' || r_regionkey AS entity_id, 'ws1' AS workspace_id, 'region' AS entity_type, 'region:' || r_regionkey AS canonical_key, r_name AS display_name FROM region
   UNION ALL SELECT 'nation:' || n_nationkey, 'ws1', 'nation', 'nation:' || n_nationkey, n_name FROM nation
@@ -41,9 +41,11 @@ messages AS (
     UNION ALL SELECT 'o' || o_orderkey, 'customer:' || o_custkey, 'a_pour_etat', NULL, o_orderstatus, o_orderdate::TIMESTAMP, o_orderkey % 17 = 0, 1.0::DOUBLE / (1 + o_orderkey % 4), o_orderkey FROM orders)
 ), relation_sources AS (
   SELECT * FROM (
-    SELECT relation_id, (3 * (k % 8) + 1) * 1000 + k % 3 AS message_id FROM relations
-    UNION ALL SELECT relation_id, (3 * (k % 8) + 1) * 1000 + (k + 1) % 3 FROM relations WHERE k % 5 = 0)
+    SELECT relation_id, (3 * (k % (SELECT greatest(1, max(conv_id) // 3) FROM conversations)) + 1) * 1000 + k % 3 AS message_id FROM relations
+    UNION ALL SELECT relation_id, (3 * (k % (SELECT greatest(1, max(conv_id) // 3) FROM conversations)) + 1) * 1000 + (k + 1) % 3 FROM relations WHERE k % 5 = 0)
   WHERE message_id IN (SELECT message_id FROM messages)
+), relation_vectors AS (
+  SELECT relation_id, embedding FROM relations JOIN embeddings ON vec_id = k * 7 % (SELECT max(vec_id) + 1 FROM embeddings) WHERE k % 10 = 0
 ), readable AS (
   SELECT q.query_id, c.conversation_id, c.scope FROM queries q JOIN convs c USING (workspace_id)
   WHERE NOT c.deleted AND (c.scope = 'workspace' OR (c.scope = 'participants' AND EXISTS (

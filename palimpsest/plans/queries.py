@@ -14,7 +14,7 @@ from ..operators import access, evaluate, fusion, graph, ingest, models, search
 from ..schema import Config
 from ..sources.fixtures import Fixtures
 from .duck import oracle
-from .search import Store, candidates, fused, hybrid
+from .search import Store, answer, candidates, fused, graph_rows, hybrid
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,6 +36,12 @@ def store(x: Fixtures) -> Store:
     return Store(x.messages, x.conversations, x.participants, x.units, x.acl)
 
 
+def graph_store(x: Fixtures) -> Store:
+    """With the graph, its facts chained."""
+    chained = graph.chains(x.relations.drop("valid_until"), CONFIG.single_valued)
+    return Store(x.messages, x.conversations, x.participants, x.units, x.acl, x.entities, chained, x.relation_sources, x.relation_vectors)
+
+
 def no_null(name: str):
     return F.coalesce(name, F.lit(0)).alias(name)
 
@@ -307,8 +313,8 @@ def graph_invalidate(x):
     return graph.reevaluate(x.relations, x.relation_sources, x.messages).select("relation_id", "invalidated")
 
 
-SEEDS = """seeds AS (
-  SELECT DISTINCT q.query_id, e.entity_id FROM queries q, unnest(q.subjects) AS t(s), unnest([lower(trim(s)), regexp_replace(lower(trim(s)), '^[^:]*:', '')]) AS n(name)
+SEEDS = r"""seeds AS (
+  SELECT DISTINCT q.query_id, e.entity_id FROM queries q, unnest(q.subjects) AS t(s), unnest([lower(trim(s)), trim(regexp_replace(lower(trim(substr(s, instr(s, ':') + 1))), '[^\p{L}\p{Nd}\p{Mn}]+', '-', 'g'), '-')]) AS n(name)
   JOIN entities e ON e.workspace_id = q.workspace_id AND name IN (e.canonical_key, split_part(e.canonical_key, ':', 2), lower(e.display_name))
 ), top_seeds AS (
   SELECT query_id, entity_id, 0 AS depth FROM seeds QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY entity_id) <= 50
@@ -405,6 +411,109 @@ def graph_search(x):
     return graph.ordered(graph.mask(source_rows(x), x.relations)).select("query_id", "relation_id", "message_id", "depth", "rank")
 
 
+FACT_ROWS = """, far AS (
+  SELECT m.*, coalesce(round(1 - list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6), 2) AS fact_distance
+  FROM masked m JOIN queries q USING (query_id) LEFT JOIN relation_vectors v USING (relation_id)
+), spaced AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id, depth ORDER BY confidence DESC, observed_at DESC, relation_id, sequence_number DESC) AS depth_rank,
+    row_number() OVER (PARTITION BY query_id, relation_id ORDER BY sequence_number DESC, message_id DESC) AS source_rank FROM far
+), cut AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fact_distance, depth_rank, depth, confidence DESC, observed_at DESC, sequence_number DESC, message_id DESC, relation_id) AS rank
+  FROM spaced WHERE source_rank <= 3 QUALIFY rank <= 20
+), graph_rows AS (
+  SELECT c.*, r.target_entity_id, se.display_name AS subject, coalesce(te.display_name, r.target_literal) AS object, r.valid_from, m.conversation_id,
+    coalesce(u.start_sequence, c.sequence_number) AS start_sequence, coalesce(u.end_sequence, c.sequence_number) AS end_sequence
+  FROM cut c JOIN relations r USING (relation_id) JOIN entities se ON se.entity_id = r.source_entity_id LEFT JOIN entities te ON te.entity_id = r.target_entity_id
+  JOIN messages m USING (message_id) LEFT JOIN units u ON u.anchor_message_id = m.message_id AND u.active
+), graph_list AS (
+  SELECT query_id, message_id AS anchor_message_id, arg_min(unit_id, rank) FILTER (unit_id IS NOT NULL) AS unit_id, arg_min(conversation_id, rank) AS conversation_id,
+    arg_min(start_sequence, rank) AS start_sequence, arg_min(end_sequence, rank) AS end_sequence, arg_min(access_reason, rank) AS access_reason,
+    1.0::DOUBLE / arg_min(depth, rank) AS raw_score, row_number() OVER (PARTITION BY query_id ORDER BY min(rank)) AS rank
+  FROM graph_rows GROUP BY query_id, message_id
+), mentioned AS (
+  SELECT query_id, message_id AS anchor_message_id, name, min(2 * rank + part) AS pos
+  FROM (SELECT query_id, message_id, rank, unnest([subject, object]) AS name, unnest([0, 1]) AS part FROM graph_rows) GROUP BY 1, 2, 3
+), entity_lists AS (
+  SELECT query_id, anchor_message_id, string_agg(name, '|' ORDER BY pos) AS entities FROM mentioned GROUP BY 1, 2
+), grouped_facts AS (
+  SELECT query_id, relation_id, subject, relation_type, object, confidence, observed_at, valid_from, valid_until, string_agg(message_id::VARCHAR, ',' ORDER BY rank) AS sources,
+    row_number() OVER (PARTITION BY query_id ORDER BY min(rank)) AS place
+  FROM graph_rows GROUP BY ALL
+)"""
+FACT_ROWS = FACT_ROWS.replace("GROUP BY ALL", "GROUP BY query_id, relation_id, subject, relation_type, object, confidence, observed_at, valid_from, valid_until")
+GRAPH = graph_oracle("").rstrip() + SOURCE_ROWS + FACT_ROWS
+
+ORACLES["graph_candidates"] = GRAPH + "\nSELECT query_id, anchor_message_id, rank, round(raw_score, 6) AS raw_score, access_reason, start_sequence, end_sequence, entities FROM graph_list JOIN entity_lists USING (query_id, anchor_message_id)"
+
+
+@query(None)
+def graph_candidates(x):
+    rows = candidates(graph_store(x), x.queries, CONFIG, ("graph",))[0][1]
+    return rows.select("query_id", "anchor_message_id", "rank", F.round("raw_score", 6).alias("raw_score"), "access_reason", "start_sequence", "end_sequence", F.array_join("entities", "|").alias("entities"))
+
+
+ORACLES["graph_facts_cut"] = GRAPH + "\nSELECT query_id, place, relation_id, subject, relation_type, object, confidence, observed_at, valid_until, sources FROM grouped_facts WHERE place <= 5"
+
+
+@query(None)
+def graph_facts_cut(x):
+    rows = graph.grouped_facts(graph_rows(graph_store(x), x.queries, CONFIG), 5)
+    sources = F.array_join(F.transform("sources", lambda s: s.cast("string")), ",").alias("sources")
+    return rows.select("query_id", "place", "relation_id", "subject", "relation_type", "object", "confidence", "observed_at", "valid_until", sources)
+
+
+def three_lists(sql: str) -> str:
+    """The oracle of a plan over two lists, with the graph's as the third."""
+    sql = sql.replace("rank FROM lexical\n)", "rank FROM lexical\n  UNION ALL SELECT 2, query_id, unit_id, anchor_message_id, conversation_id, start_sequence, end_sequence, raw_score, access_reason, rank FROM graph_list\n)")
+    sql = sql.replace("FILTER (list_idx = 1), 0.0) AS score", "FILTER (list_idx = 1), 0.0) + coalesce(sum(1.0::DOUBLE / (60 + rank)) FILTER (list_idx = 2), 0.0) AS score")
+    sql = sql.replace("AS lexical_rank,\n    arg_min(access_reason", "AS lexical_rank, min(rank) FILTER (list_idx = 2) AS graph_rank,\n    max(raw_score) FILTER (list_idx = 0) AS dense_raw, max(raw_score) FILTER (list_idx = 1) AS lexical_raw, max(raw_score) FILTER (list_idx = 2) AS graph_raw,\n    arg_min(access_reason")
+    sql = sql.replace("min(lexical_rank) AS lexical_rank\n  FROM islands", "min(lexical_rank) AS lexical_rank, min(graph_rank) AS graph_rank, max(dense_raw) AS dense_raw, max(lexical_raw) AS lexical_raw, max(graph_raw) AS graph_raw,\n    arg_min(unit_id, [-score, start_sequence::DOUBLE, first_seen::DOUBLE]) AS unit_id\n  FROM islands")
+    head, tail = sql.split("candidates AS (", 1)
+    needed = (", " + SEEDS + SOURCE_ROWS + FACT_ROWS).strip(", ")
+    return f"{head.rstrip().rstrip(',')}, {needed}, candidates AS ({tail}"
+
+
+ORACLES["hybrid_graph"] = three_lists(ORACLES["merge_adjacent"]).replace("FROM merged", ", coalesce(graph_rank, 0) AS graph_rank FROM merged")
+
+
+@query(None)
+def hybrid_graph(x):
+    rows = fusion.merge_adjacent(fused(graph_store(x), x.queries, CONFIG, strategies=("dense", "lexical", "graph")))
+    return rows.select("query_id", "conversation_id", "start_sequence", "end_sequence", F.round("score", 8).alias("score"), "anchor_message_id", "access_reason", no_null("dense_rank"), no_null("lexical_rank"), no_null("graph_rank"))
+
+
+ORACLES["results_full"] = three_lists(ORACLES["to_results"]).replace("SELECT * FROM results", """SELECT s.query_id, s.rank, s.conversation_id, s.score, s.content, s.sources, s.occurred_at, coalesce(r.unit_id, r.anchor_message_id) AS memory_id,
+  coalesce(round(r.dense_raw, 6), -1) AS dense_score, coalesce(r.lexical_raw, -1) AS lexical_score, coalesce(round(r.graph_raw, 6), -1) AS graph_score,
+  CASE WHEN r.access_reason = 'explicit_acl' THEN '-' ELSE coalesce(p.who, '') END AS participants, coalesce(m.metadata, '-') AS metadata, 'original_messages' AS source_type
+FROM results s JOIN ranked r ON r.query_id = s.query_id AND r.rank = s.rank
+LEFT JOIN (SELECT conversation_id, string_agg(participant_key, ',' ORDER BY participant_key) AS who FROM participants WHERE NOT "left" GROUP BY 1) p ON p.conversation_id = s.conversation_id
+LEFT JOIN kept k ON k.query_id = s.query_id AND k.rank = s.rank AND k.message_id = s.anchor_message_id LEFT JOIN messages m ON m.message_id = k.message_id""")
+
+
+def full(x: Fixtures):
+    return answer(graph_store(x), x.queries, Config(minimum_dense_score=0.1, max_memory_tokens=600, fuse_graph=True))
+
+
+@query(None)
+def results_full(x):
+    rows = full(x).results
+    score = lambda n: F.coalesce(F.round(f"{n}_score", 6), F.lit(-1.0)).alias(f"{n}_score")
+    who = F.coalesce(F.array_join("participants", ","), F.lit("-")).alias("participants")
+    return rows.select("query_id", "rank", "conversation_id", "score", "content", "sources", "occurred_at", "memory_id", *map(score, ("dense", "lexical", "graph")), who, F.coalesce("metadata", F.lit("-")).alias("metadata"), "source_type")
+
+
+ORACLES["answer_context"] = three_lists(ORACLES["to_results"]).replace("SELECT * FROM results", f"""SELECT coalesce(e.query_id, f.query_id) AS query_id, '<MEMORY_CONTEXT>' || chr(10) ||
+  CASE WHEN f.lines IS NULL THEN '{fusion.WARNING.replace("'", "''")}' || chr(10) ELSE '{fusion.WARNING_FACTS.replace("'", "''")}' || chr(10) || chr(10) || '{fusion.FACTS_TITLE.replace("'", "''")}' || chr(10) || f.lines END || coalesce(e.t, '') || '</MEMORY_CONTEXT>' AS block
+FROM (SELECT query_id, string_agg(chr(10) || '[' || strftime(occurred_at, '%Y-%m-%d') || ' — source: ' || conversation_id || ']' || chr(10) || content || chr(10), '' ORDER BY rank) AS t FROM results GROUP BY 1) e
+FULL JOIN (SELECT query_id, string_agg('- ' || subject || ' ' || relation_type || ' ' || object || ' (observé le ' || strftime(observed_at, '%Y-%m-%d') || ', valable depuis le ' || strftime(valid_from, '%Y-%m-%d')
+  || coalesce(', jusqu''au ' || strftime(valid_until, '%Y-%m-%d'), '') || ')' || chr(10), '' ORDER BY place) AS lines FROM grouped_facts WHERE place <= 20 GROUP BY 1) f ON f.query_id = e.query_id""")
+
+
+@query(None)
+def answer_context(x):
+    return full(x).context
+
+
 @query("""SELECT relation_id, least(greatest(confidence * 1.5 - 0.2, 0.0), 1.0) AS confidence FROM relations WHERE k % 3 <> 0""")
 def graph_validate(x):
     rows = x.relations.withColumn("confidence", F.col("confidence") * 1.5 - 0.2).withColumn("relation_type", F.when(F.col("k") % 3 != 0, F.col("relation_type")).otherwise(""))
@@ -608,14 +717,14 @@ def lexical_stemmed(x):
 
 @query(None)
 def candidate_entities(x):
-    texts = x.queries.select(F.col("query_id").alias("key"), "workspace_id", F.concat_ws(" ", F.lit("customer"), F.lpad((F.col("query_id") / 50).cast("string"), 9, "0")).alias("text"))
+    texts = x.queries.select(F.col("query_id").alias("key"), "workspace_id", F.concat_ws(" ", F.lit("customer"), F.lpad((F.col("query_id") / 100).cast("bigint").cast("string"), 9, "0")).alias("text"))
     return models.similar_entities(x.entities, texts)
 
 
 @query(None)
 def rerank_results(x):
     pool = hybrid(store(x), x.queries, Config(minimum_dense_score=0.1, final_top_k=16)).select("query_id", "rank", "content", "score")
-    pool = pool.join(access.bounded(x.queries.select("query_id", "query_text")), "query_id")
+    pool = pool.join(access.bounded(x.queries, "query_id", "query_text"), "query_id")
     return models.rerank(pool, _longest_first, 8).select("query_id", "rank", "score", "fusion_score")
 
 

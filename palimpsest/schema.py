@@ -21,6 +21,9 @@ class Config:
     rrf_k: int = 60
     minimum_dense_score: float = 0.45
     minimum_score: float | None = None
+    no_answer_best_below: float | None = None
+    no_answer_spread_below: float | None = None
+    fuse_graph: bool = False
     max_hops: int = 2
     max_seeds: int = 50
     sources_per_relation: int = 3
@@ -43,6 +46,7 @@ TABLES = {
     "entities": "entity_id workspace_id entity_type canonical_key display_name",
     "relations": "relation_id workspace_id source_entity_id relation_type target_entity_id target_literal observed_at valid_from valid_until invalidated confidence",
     "relation_sources": "relation_id message_id",
+    "relation_vectors": "relation_id embedding",
     "queries": "query_id workspace_id requester embedding query_text subjects",
 }
 

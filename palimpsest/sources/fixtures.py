@@ -19,6 +19,16 @@ class Fixtures:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    @cached_property
+    def n_vectors(self) -> int:
+        """One more than the greatest id of the embeddings."""
+        return (self.read("embeddings").agg(F.max("vec_id")).first()[0] or 0) + 1
+
+    @cached_property
+    def n_sourced(self) -> int:
+        """Conversations of the workspace that facts belong to."""
+        return max(1, (self.read("conversations").agg(F.max("conv_id")).first()[0] or 0) // 3)
+
     @cached_property
     def messages(self) -> DataFrame:
         return check("messages", self.read("conversations").selectExpr(
@@ -53,7 +63,7 @@ class Fixtures:
     @cached_property
     def units(self) -> DataFrame:
         vectors = self.read("embeddings").select("vec_id", "embedding")
-        rows = self.messages.where("role IN ('user', 'assistant')").withColumn("vec_id", (F.col("conv_id") * 17 + F.col("turn")) % 500).join(vectors, "vec_id")
+        rows = self.messages.where("role IN ('user', 'assistant')").withColumn("vec_id", (F.col("conv_id") * 17 + F.col("turn")) % self.n_vectors).join(vectors, "vec_id")
         return check("units", rows.selectExpr(
             "message_id + 1000000000 AS unit_id", "workspace_id", "conversation_id", "message_id AS anchor_message_id",
             "greatest(1L, sequence_number - 2) AS start_sequence", "sequence_number AS end_sequence",
@@ -68,7 +78,7 @@ class Fixtures:
 
     @cached_property
     def queries(self) -> DataFrame:
-        rows = self.read("embeddings").where("vec_id % 50 = 0 AND vec_id < 500").selectExpr("vec_id AS query_id", "CAST(vec_id / 50 AS BIGINT) AS n", "embedding")
+        rows = self.read("embeddings").where("vec_id % 100 = 0").selectExpr("vec_id AS query_id", "CAST(vec_id / 100 AS BIGINT) AS n", "embedding")
         words = self.read("conversations").where("turn = 0").selectExpr("conv_id AS n", "lower(split(text, ' ')[1]) AS query_text")
         return check("queries", rows.join(words, "n", "left").selectExpr(
             "query_id", "concat('ws', n % 3) AS workspace_id",
@@ -96,7 +106,15 @@ class Fixtures:
 
     @cached_property
     def relation_sources(self) -> DataFrame:
-        named = self.relations.selectExpr("relation_id", "(3 * (k % 8) + 1) * 1000 + k % 3 AS message_id")
-        again = self.relations.where("k % 5 = 0").selectExpr("relation_id", "(3 * (k % 8) + 1) * 1000 + (k + 1) % 3 AS message_id")
+        place = f"(3 * (k % {self.n_sourced}) + 1) * 1000"
+        named = self.relations.selectExpr("relation_id", f"{place} + k % 3 AS message_id")
+        again = self.relations.where("k % 5 = 0").selectExpr("relation_id", f"{place} + (k + 1) % 3 AS message_id")
         live = self.messages.select("message_id")
         return check("relation_sources", named.unionByName(again).join(live, "message_id", "left_semi"))
+
+    @cached_property
+    def relation_vectors(self) -> DataFrame:
+        """Vectors of every tenth fact."""
+        vectors = self.read("embeddings").select("vec_id", "embedding")
+        rows = self.relations.where("k % 10 = 0").select("relation_id", (F.col("k") * 7 % self.n_vectors).alias("vec_id"))
+        return check("relation_vectors", rows.join(vectors, "vec_id").select("relation_id", "embedding"))
