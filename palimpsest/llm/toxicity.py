@@ -2,16 +2,21 @@
 
 Learning: for every token of labelled texts, the number of toxic and clean texts it occurs in. A token's toxic
 share has a Dirichlet prior centred on the share of its longest known prefix, that one on the next shorter,
-down to the share of the corpus, so rare inflections borrow from their stem. Tokens, and prefixes of several
-tokens, whose share lies above the corpus's beyond what a binomial allows (Chernoff bound, corrected for the
-number of keys) form the lexicon with their log-odds; every other token scores a small negative drift.
-
-Scoring: all maximal scoring segments of the token scores in one linear scan. A segment of score S in n tokens
-has the expected number of chance segments E = K n exp(-lambda S) (extreme-value theory, lambda from the token
-scores of clean texts); those with E below `EVALUE` are significant passages; -ln E of all with E < 1 add up to the
-evidence of the text. A logistic curve over the evidence, fitted on a histogram of the labelled texts, gives the score.
-
-Counts cover every labelled training row. The lexicon that goes to the executors has at most `LEXICON` keys.
+down to the share of the corpus, so rare inflections borrow from their stem. A token's score is its own log-odds against
+the corpus, positive or negative, less a small drift that every token pays. Outside known families the log-odds count
+with the probability that the token's share differs from the corpus's at all (Chernoff bound against one in twice the
+number of keys). Families are prefixes of several tokens that are nearly all toxic; they score unseen tokens. Tokens whose score differs from the drift by less than `LEAST` are left out of the
+lexicon and get the drift; there is no other limit to it. A token in it needs about log(keys) / log(1 / share) labelled
+texts, so it grows with the evidence, not with the vocabulary; it goes to the tasks as 12 bytes a token.
+
+Scoring: all maximal scoring segments of the token scores in one linear scan. A segment of score S in n tokens has the
+expected number of chance segments E = K n exp(-lambda S) (extreme-value theory). lambda solves sum p exp(lambda s) = 1 over
+the tokens of clean texts; K is the least with which, at every level of lambda S that some segments of clean labelled texts
+reach, no more of them are found than expected.
+Segments with E below `EVALUE` are significant passages; -ln E of all with E < 1 add up to the evidence of the text. A
+logistic curve over the evidence, fitted to the labelled texts, gives the score.
+
+Counts cover every labelled training row.
 
 Defined results: null, empty and wordless texts have no evidence and get the score at evidence 0; without
 labels of both kinds every score is the share of toxic labels (0 without labels); of repeated labels the larger
@@ -26,7 +31,9 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,42 +43,53 @@ TOKEN = re.compile(r"[^\W\d_]+")
 PREFIXES = (3, 4, 5, 6, 7, 8)
 #: Weight of the prior in texts.
 PRIOR = 1.0
-#: Log-odds that a key must have, and nats by which its bound must pass the number of keys.
-MIN_LOG_ODDS, MARGIN = 1.5, 1.0
+#: Nats by which the bound of a key must pass the number of keys to be as likely different as not.
+MARGIN = 1.0
 #: Tokens that share a prefix, and its toxic share, for it to stand for unseen tokens.
 FAMILY, PURE = 3, 0.8
-#: Keys of the lexicon.
-LEXICON = 20_000
-#: Score of a token outside the lexicon, and the highest score of one within.
-DRIFT, TOP = -0.25, 8.0
-KAPPA, EVALUE = 0.1, 0.05
-#: Evidence beyond which texts count alike in the fit; width of the fit's bins.
-MOST, BIN = 40.0, 0.5
+#: What every token pays, the least that a lexicon's token differs from that, and the highest score.
+DRIFT, LEAST, TOP = -0.25, 0.01, 8.0
+EVALUE = 0.05
+#: Segments of clean texts at a level for it to bear on K.
+ENOUGH = 10
+#: Cells in which texts of like evidence are counted for the fit, for each unit of ln(1 + evidence).
+CELLS = 16
 #: Different tokens that a task counts before it passes them on.
 FLUSH = 300_000
 
 
 @dataclass(frozen=True)
 class Model:
-    lexicon: dict[str, float]
+    """keys: sorted hashes of tokens; scores: theirs; families: scores of prefixes; scale: lambda."""
+
+    keys: np.ndarray
+    scores: np.ndarray
     families: dict[str, float]
     scale: float
-    curve: tuple[float, float] = (0.0, 0.0)
+
+
+def token_key(token: str) -> int:
+    return xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass"))
 
 
 class Scores(dict):
     """Token scores, filled in as tokens are met."""
 
     def __init__(self, model: Model):
-        super().__init__(model.lexicon)
-        self.families = model.families
+        super().__init__()
+        self.model = model
 
     def __missing__(self, token: str) -> float:
         if len(self) > 1_000_000:
-            for k in [k for k, v in self.items() if v == DRIFT]:
-                del self[k]
-        found = (self.families.get(token[:n]) for n in reversed(PREFIXES) if len(token) > n)
-        self[token] = value = next((x for x in found if x is not None), DRIFT)
+            self.clear()
+        m, key = self.model, np.uint64(token_key(token))
+        at = int(np.searchsorted(m.keys, key))
+        if at < len(m.keys) and m.keys[at] == key:
+            value = float(m.scores[at])
+        else:
+            found = (m.families.get(token[:n]) for n in reversed(PREFIXES) if len(token) > n)
+            value = next((x for x in found if x is not None), DRIFT)
+        self[token] = value
         return value
 
 
@@ -96,16 +114,14 @@ def segments(values: list[float]) -> list[tuple[int, int, float]]:
     return [(a, b, hi - lo) for a, b, lo, hi in stack]
 
 
-def evidence(text: str, scores: Scores, scale: float) -> tuple[float, list[tuple[int, int, float]]]:
-    """Summed -ln E of all segments with E < 1, and the significant ones: characters from, to, and -ln E."""
+def scan(text: str, scores: Scores, scale: float) -> tuple[int, list[tuple[int, int, float]]]:
+    """Number of tokens, and all maximal segments: characters from, to, and lambda times their score."""
     low = text.lower()
     values = [scores[t] for t in TOKEN.findall(low)]
     if not values or max(values) <= 0:
-        return 0.0, []
-    base = math.log(KAPPA * len(values))
-    found = [(a, b, scale * s - base) for a, b, s in segments(values)]
+        return len(values), []
     spots = [m.span() for m in TOKEN.finditer(low)]
-    return sum(max(0.0, x[2]) for x in found), [(spots[a][0], spots[b - 1][1], e) for a, b, e in found if e > -math.log(EVALUE)]
+    return len(values), [(spots[a][0], spots[b - 1][1], scale * s) for a, b, s in segments(values)]
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,10 +143,10 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bound(hits: Column, all_: Column, share: float) -> Column:
-    """Nats by which the Chernoff bound falls for hits of all_ at this share."""
+    """Nats of the Chernoff bound on hits of all_ as far from this share, above or below."""
     q = hits / all_
     term = lambda a, b: F.when(a > 0, a * F.ln(a / b)).otherwise(0.0)
-    return F.when(q > share, all_ * (term(q, F.lit(share)) + term(1 - q, F.lit(1 - share)))).otherwise(0.0)
+    return all_ * (term(q, F.lit(share)) + term(1 - q, F.lit(1 - share)))
 
 
 def _scale(scored: list[tuple[float, float]]) -> float:
@@ -143,6 +159,8 @@ def _scale(scored: list[tuple[float, float]]) -> float:
         return (1 - positive) * math.exp(x * DRIFT) + sum(p * math.exp(x * s) for p, s in scored) - 1
 
     low, high = 1e-3, 1.0
+    while at(high) < 0 and high < 64:
+        high *= 2
     for _ in range(60):
         mid = (low + high) / 2
         low, high = (mid, high) if at(mid) < 0 else (low, mid)
@@ -155,54 +173,77 @@ def learn_lexicon(labelled: DataFrame) -> Model:
     totals = words.agg(F.sum("toxic"), F.sum("clean"), F.count(F.lit(1))).collect()[0]
     toxic, clean, kinds = (x or 0 for x in totals)
     if not toxic or not clean:
-        return Model({}, {}, 1.0)
+        return Model(np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.float32), {}, 1.0)
     share = toxic / (toxic + clean)
+    base, need = math.log(share / (1 - share)), math.log(kinds * 2) + MARGIN
     prefix = F.explode(F.filter(F.array(*(F.when(F.length("token") > n, F.substring("token", 1, n)) for n in PREFIXES)), lambda x: x.isNotNull()))
     stems = words.select(prefix.alias("stem"), "toxic", "clean").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.count(F.lit(1)).alias("family"))
-    need = math.log(kinds * 2) + MARGIN
-    strong = lambda: _bound(F.col("toxic"), F.col("toxic") + F.col("clean"), share) >= need
-    heads = stems.where((F.col("family") >= FAMILY) & (F.col("toxic") >= PURE * (F.col("toxic") + F.col("clean")))).where(strong())
-    best = [F.desc(F.col("toxic") - F.col("clean")), F.asc("stem")]
-    heads = heads.orderBy(*best).limit(LEXICON // 2).collect()
-    tokens = words.where(strong()).withColumnRenamed("token", "stem").orderBy(*best).limit(LEXICON // 2).collect()
+    bound = _bound(F.col("toxic"), F.col("toxic") + F.col("clean"), share)
+    heads = stems.where((F.col("family") >= FAMILY) & (F.col("toxic") >= PURE * (F.col("toxic") + F.col("clean")))).where(bound >= need)
+    heads = small(stage(heads, "toxicity-families"))
+    # log-odds are at most TOP each way, so keys of a smaller bound cannot differ from the drift by LEAST; those of a family can
+    within = words.select("token", prefix.alias("stem")).join(heads.select("stem"), "stem", "left_semi").select("token").distinct().withColumn("family", F.lit(True))
+    tokens = words.join(within, "token", "left").withColumn("bound", bound)
+    tokens = tokens.where(F.col("family") | (F.col("bound") >= need - math.log(TOP / LEAST))).withColumnRenamed("token", "stem")
 
     shares: dict[str, float] = {}
-    base = math.log(share / (1 - share))
     parent = lambda k: next((shares[k[:n]] for n in range(len(k) - 1, 2, -1) if k[:n] in shares), share)
-    smooth = lambda r: min(1 - 1e-9, (r.toxic + PRIOR * parent(r.stem)) / (r.toxic + r.clean + PRIOR))
-    odds = lambda s: min(TOP, math.log(s / (1 - s)) - base)
-    for r in sorted(heads, key=lambda r: len(r.stem)):
+    smooth = lambda r: min(1 - 1e-9, max(1e-9, (r.toxic + PRIOR * parent(r.stem)) / (r.toxic + r.clean + PRIOR)))
+    odds = lambda s: max(-TOP, min(TOP, math.log(s / (1 - s)) - base))
+    for r in sorted(heads.collect(), key=lambda r: len(r.stem)):
         shares[r.stem] = smooth(r)
-    families = {k: odds(s) for k, s in shares.items() if odds(s) >= MIN_LOG_ODDS}
-    own = {r.stem: smooth(r) for r in tokens}
-    lexicon = {k: odds(s) for k, s in own.items() if odds(s) >= MIN_LOG_ODDS}
-    chance = [((r.clean + 0.05) / clean, lexicon[r.stem]) for r in tokens if r.stem in lexicon]
-    return Model(lexicon, families, _scale(chance))
+    families = {k: odds(s) + DRIFT for k, s in shares.items() if odds(s) > 0}
+    lexicon: dict[int, float] = {}
+    chance: list[tuple[float, float]] = []
+    for r in tokens.toLocalIterator():
+        differs = 1.0 if r.family else 1 / (1 + math.exp(max(-50.0, min(50.0, need - r.bound))))
+        score = differs * odds(smooth(r))
+        if r.family or abs(score) >= LEAST:
+            lexicon[token_key(r.stem)] = score + DRIFT
+            chance.append(((r.clean + 0.05) / clean, score + DRIFT))
+    keys = np.array(sorted(lexicon), dtype=np.uint64)
+    return Model(keys, np.array([lexicon[int(k)] for k in keys], dtype=np.float32), families, _scale(chance))
 
 
 def gather(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """key, the columns in keep, evidence and passages (characters from, to, -ln E) of every row."""
+    """key, the columns in keep, n_tokens and segments (characters from, to, lambda times score) of every row."""
+    # plain values: a broadcast of the class itself would need the library on the executors
+    shared = docs.sparkSession.sparkContext.broadcast((model.keys, model.scores, model.families, model.scale))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = Scores(model)
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("evidence", pa.float64())]))
+        own = Model(*shared.value)
+        scores = Scores(own)
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("s", pa.float64())]))
         for b in batches:
-            found = [evidence(t.as_py() or "", scores, model.scale) for t in b.column(1)]
-            passages = [[{"start": a, "end": z, "evidence": e} for a, z, e in p] for _, p in found]
-            yield pa.RecordBatch.from_arrays([*b.columns[:1], *b.columns[2:], pa.array([e for e, _ in found], pa.float64()), pa.array(passages, kind)], names)
+            found = [scan(t.as_py() or "", scores, own.scale) for t in b.column(1)]
+            parts = [[{"start": a, "end": z, "s": s} for a, z, s in p] for _, p in found]
+            yield pa.RecordBatch.from_arrays([*b.columns[:1], *b.columns[2:], pa.array([n for n, _ in found], pa.int64()), pa.array(parts, kind)], names)
 
-    names = [key, *keep, "evidence", "passages"]
+    names = [key, *keep, "n_tokens", "segments"]
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (key, *keep))
-    return docs.select(key, text, *keep).mapInArrow(run, f"{kinds}, evidence double, passages array<struct<start:int,end:int,evidence:double>>")
+    return docs.select(key, text, *keep).mapInArrow(run, f"{kinds}, n_tokens bigint, segments array<struct<start:int,end:int,s:double>>")
+
+
+def _kappa(levels: dict[int, int], tokens: int) -> float:
+    """K with which no level of lambda S has more chance segments than expected. levels: segments of clean texts by whole lambda S.
+
+    Levels that fewer than `ENOUGH` segments reach say too little.
+    """
+    most, above = 0.5 / (tokens + 1), 0
+    for level in sorted(levels, reverse=True):
+        above += levels[level]
+        if above >= ENOUGH:
+            most = max(most, above / (tokens + 1) * math.exp(min(level, 500)))
+    return most
 
 
 def _logistic(cells: list[tuple[float, int, int]]) -> tuple[float, float]:
-    """Intercept and slope for cells (evidence, clean, toxic), by Newton steps with a weak ridge on the slope."""
+    """Intercept and slope for cells (x, clean, toxic), by Newton steps with a weak ridge on the slope."""
     toxic, clean = sum(c[2] for c in cells), sum(c[1] for c in cells)
     a, b = math.log((toxic + 0.5) / (clean + 0.5)), 0.0
     if not toxic or not clean:
         return a, b
-    for _ in range(50):
+    for _ in range(100):
         g0 = g1 = h00 = h01 = h11 = 0.0
         for x, n0, n1 in cells:
             p = 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * x))))
@@ -219,17 +260,27 @@ def _logistic(cells: list[tuple[float, int, int]]) -> tuple[float, float]:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, train: Column, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """key, the columns in keep, score, evidence and passages of every row of docs.
+    """key, the columns in keep, score, evidence and passages (characters from, to, -ln E) of every row of docs.
 
     labels: key, toxic; train: which keys may be learnt from.
     """
     known = labels.where("toxic IS NOT NULL").where(train).groupBy(key).agg(F.max("toxic").cast("int").alias("toxic"))
     known = stage(known.where(F.col("toxic").isin(0, 1)), "toxicity-labels")
     model = learn_lexicon(docs.select(key, text).join(small(known), key).select(text, "toxic"))
-    found = stage(gather(docs, model, key, text, keep), "toxicity-evidence")
-    cell = F.floor(F.least(F.col("evidence"), F.lit(MOST)) / BIN)
-    cells = found.join(known, key).groupBy(cell.alias("cell")).agg(F.count_if(F.col("toxic") == 0), F.count_if(F.col("toxic") == 1)).collect()
-    a, b = _logistic([(r[0] * BIN, r[1], r[2]) for r in sorted(cells)]) if cells else (-math.inf, 0.0)
-    x = F.floor(F.least(F.col("evidence"), F.lit(MOST)) / BIN) * BIN
-    score = F.lit(0.0) if a == -math.inf else 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * x)))
-    return found.select(key, *keep, score.alias("score"), "evidence", "passages")
+    found = stage(gather(docs, model, key, text, keep), "toxicity-segments")
+    labelled = found.join(small(known), key)
+    clean = labelled.where("toxic = 0")
+    size = clean.agg(F.sum("n_tokens")).first()[0] or 0
+    levels = clean.select(F.explode("segments.s").alias("s")).groupBy(F.floor("s").cast("int").alias("level")).count().collect()
+    kappa = _kappa({r.level: r["count"] for r in levels}, size)
+    # ln(1 / E) = lambda S - ln(K n)
+    nats = F.transform("segments", lambda x: x["s"] - F.ln(F.lit(kappa) * F.greatest("n_tokens", F.lit(1))))
+    evidence = F.aggregate(nats, F.lit(0.0), lambda acc, x: acc + F.greatest(x, F.lit(0.0)))
+    passages = F.filter(
+        F.zip_with("segments", nats, lambda x, e: F.struct(x["start"].alias("start"), x["end"].alias("end"), e.alias("evidence"))), lambda x: x["evidence"] > -math.log(EVALUE)
+    )
+    cell = F.floor(F.log1p("evidence") * CELLS)
+    cells = labelled.withColumn("evidence", evidence).groupBy(cell).agg(F.avg("evidence"), F.count_if(F.col("toxic") == 0), F.count_if(F.col("toxic") == 1)).collect()
+    a, b = _logistic([(r[1], r[2], r[3]) for r in sorted(cells)]) if cells else (-math.inf, 0.0)
+    score = F.lit(0.0) if a == -math.inf else 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.col("evidence"))))
+    return found.withColumn("evidence", evidence).select(key, *keep, score.alias("score"), "evidence", passages.alias("passages"))
