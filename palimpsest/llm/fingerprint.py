@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import partitions, stage
 from .tokens import mix
 
 TOKEN = re.compile(rb"[^ \t-\r]+[ \t-\r]*|^[ \t-\r]+")
@@ -152,15 +152,16 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The first (edge 1) and the last row (edge 2) of a partition."""
+    names = ["key", "text", "hash", "part", "edge"]
     last: pa.RecordBatch | None = None
     for b in batches:
         if not b.num_rows:
             continue
         if last is None:
-            yield pa.RecordBatch.from_arrays([*b.slice(0, 1).columns, pa.array([1], pa.int32())], ["key", "text", "hash", "edge"])
+            yield pa.RecordBatch.from_arrays([*b.slice(0, 1).columns, pa.array([1], pa.int32())], names)
         last = b.slice(b.num_rows - 1, 1)
     if last is not None:
-        yield pa.RecordBatch.from_arrays([*last.columns, pa.array([2], pa.int32())], ["key", "text", "hash", "edge"])
+        yield pa.RecordBatch.from_arrays([*last.columns, pa.array([2], pa.int32())], names)
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,15 +193,18 @@ def _batch(keys: pa.Array, made: list[tuple]) -> pa.RecordBatch:
 def with_following(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row's fingerprint, that of its edited text, and likenesses to it and to the next row by key.
 
-    One range shuffle puts neighbours together. The last row of each partition meets the first of the next one by a
-    window over these rows, two a partition, which read the same shuffle.
+    One range shuffle puts neighbours together. The last row of each partition meets the first one of the next partition that
+    has rows: a window over keys and partition numbers, two rows a partition, says which that is, and an equi-join on that number
+    brings its text.
     """
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
     laid = rows.repartitionByRange(partitions(docs.sparkSession), "key").sortWithinPartitions("key", "hash")
     inside = laid.mapInArrow(_neighbours, f"key {kind}, {_FACTS}")
-    edges = laid.mapInArrow(_ends, f"key {kind}, text string, hash bigint, edge int")
-    order = Window.orderBy(F.col("key").asc_nulls_first(), "hash", "edge")
-    following = F.coalesce(F.lead("text").over(order), F.first("text").over(order))
-    last = edges.withColumn("following", following).where("edge = 2").select("key", "text", "following")
+    edges = laid.withColumn("part", F.spark_partition_id()).mapInArrow(_ends, f"key {kind}, text string, hash bigint, part int, edge int")
+    edges = stage(edges, "fingerprint-edges")
+    order = Window.orderBy(F.col("key").asc_nulls_first(), "hash", "part", "edge")
+    places = edges.select("key", "hash", "part", "edge").withColumn("next", F.coalesce(F.lead("part").over(order), F.first("part").over(order))).where("edge = 2")
+    firsts = edges.where("edge = 1").select(F.col("part").alias("next"), F.col("text").alias("following"))
+    last = edges.where("edge = 2").select("key", "text", "part").join(places.select("part", "next"), "part").join(firsts, "next").select("key", "text", "following")
     return inside.unionByName(last.mapInArrow(_pairs, f"key {kind}, {_FACTS}")).withColumnRenamed("key", key)
