@@ -5,8 +5,8 @@ letters, digits, marks and spaces follow each other), its share of different wor
 by a tanh layer; gated attention (tanh times sigmoid) weighs the passages, and the weighted mean is scored by a logistic
 unit. All weights are learnt together from document labels by gradient descent.
 
-The sample for fitting has at most `SAMPLE` labelled training rows of each class, chosen by a hash of their keys; the
-score is corrected to the classes' shares among all training labels. Every passage of every text is scored.
+The sample for fitting has at most `SAMPLE` labelled training rows of each class, chosen by a hash of their keys, and of
+each at most `PASSAGES` passages, evenly over the whole text; the score is corrected to the classes' shares among all training labels. Every passage of every text is scored.
 
 Defined results: null, empty and wordless texts are one passage of zeros; with labels of one class only, or none, the
 score is that class's smoothed share (0.5 without labels); of repeated labels the larger counts; repeated rows each
@@ -28,6 +28,8 @@ from .common import stage
 
 WORDS = 64
 SAMPLE = 2000
+#: Passages of a sampled text that the fit sees, at most, evenly over the whole text; so a few very long texts do not fill the driver.
+PASSAGES = 64
 HIDDEN, GATE = 24, 12
 EPOCHS, BATCH, RATE, DECAY = 40, 64, 0.01, 1e-4
 #: Passages of one text that are encoded at a time.
@@ -134,6 +136,11 @@ def fit(bags: list[np.ndarray], y: np.ndarray, share: float) -> Model:
     return Model(mean, spread, p, math.log(share / (1 - share)) - math.log(sampled / (1 - sampled)))
 
 
+def spread(bag: np.ndarray) -> np.ndarray:
+    """At most PASSAGES passages of a bag, evenly over the whole text: what the fit sees of a text. Scores use all of them."""
+    return bag if len(bag) <= PASSAGES else bag[np.linspace(0, len(bag) - 1, PASSAGES).round().astype(np.int64)]
+
+
 def learn(docs: DataFrame, labels: DataFrame, train: Column, key: str = "doc_id", text: str = "text") -> Model:
     """labels: key, quality."""
     known = labels.where(train & F.col("quality").isin(0, 1)).groupBy(key).agg(F.max("quality").cast("int").alias("quality"))
@@ -147,7 +154,7 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, key: str = "doc_id"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [features(t.as_py() or b"").astype(np.float16).tobytes() for t in b.column(1).cast(pa.binary())]
+            made = [spread(features(t.as_py() or b"")).astype(np.float16).tobytes() for t in b.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column(2), pa.array(made, pa.binary()), b.column(0)], ["quality", "bag", "o"])
 
     rows = docs.select(key, text).join(F.broadcast(stage(chosen, "quality-sample")), key)  # 2 * SAMPLE narrow rows
