@@ -81,10 +81,19 @@ def plan_mix(docs: DataFrame, key: str = "doc_id", weights: Sequence[int] = WEIG
     return ranked.select(F.col("key").alias(key), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP, seed: int = 0) -> DataFrame:
-    """The mixed documents: every row of docs as often as the plan says, columns unchanged."""
+def mix(docs: DataFrame, key: str = "doc_id", weights: Sequence[int] = WEIGHTS, cap: int = CAP, seed: int = 0) -> DataFrame:
+    """The mixed documents: every row of docs as often as the plan says, columns unchanged.
+
+    A row is known by its key and a hash of all its columns, so what is taken depends on the rows alone, not on how they lie in
+    files; of rows that are equal in every column, the copies of all are taken of one.
+    """
     columns = docs.columns
-    kept = stage(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-rows")
-    plan = plan_mix(kept, "__row", weights, cap, seed).where("copies > 0").select("__row", F.col("copies").alias("__copies"))
-    out = kept.join(small(stage(plan, "mix-plan")), "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return out.select(*columns)
+    row = F.concat_ws("/", F.col(key).cast("string"), F.xxhash64(*columns).cast("string"))
+    kept = stage(docs.withColumn("__row", row), "mix-rows")
+    copies = plan_mix(kept, "__row", weights, cap, seed).groupBy(F.col("__row").alias("__taken")).agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__equal"))
+    copies = stage(copies.where("__copies > 0"), "mix-plan")
+    once = small(copies.where("__equal = 1").drop("__equal"))
+    several = small(copies.where("__equal > 1").drop("__equal"))
+    same = F.col("__row") == F.col("__taken")
+    out = kept.join(once, same).unionByName(kept.join(several, same).dropDuplicates(["__row"]))
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__copies")))).select(*columns)

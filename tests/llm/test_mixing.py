@@ -45,3 +45,12 @@ def test_words_taken_come_near_the_targets(spark):
     assert mixed.columns == docs.columns and mixed.count() == sum(r.copies for r in plan)
     assert M.plan_mix(docs.where("false")).count() == 0 and M.mix(docs.where("false")).count() == 0
     assert M.plan_mix(docs.withColumn("text", F.lit(""))).where("taken <> 0").count() == 0
+
+
+def test_what_is_taken_does_not_depend_on_files(spark):
+    rows = [(i % 50, "w " * (i % 7 + 1), f"s{i % 3}", i % 11) for i in range(400)] + [(7, "w", "s1", 7)] * 5
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, n_chars int")
+    got = [sorted(map(tuple, M.mix(docs.repartition(n)).collect())) for n in (1, 3, 7)]
+    assert got[0] == got[1] == got[2] and set(got[0]) <= set(rows)
+    plan = M.plan_mix(docs.withColumn("k", F.monotonically_increasing_id()), "k")
+    assert len(got[0]) == plan.groupBy().sum("copies").first()[0]
