@@ -85,3 +85,37 @@ def clusters(keys: np.ndarray, values: np.ndarray, radius: int) -> np.ndarray:
         while (label[label] != label).any():
             label = label[label]
     return label
+
+
+def within(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    """[n] booleans: are the fingerprints a[i] and b[i], rows of 64-bit words, within radius bits of each other?
+
+    Pairs are laid out as lanes. Counters start so that a lane overflows with the first bit beyond the radius, and words of
+    which every lane has overflowed are abandoned.
+    """
+    n, k = a.shape
+    if not n:
+        return np.zeros(0, dtype=bool)
+    words = -(-n // LANES)
+    differ = np.zeros((words * LANES, k), dtype="<u8")
+    differ[:n] = a ^ b
+    bits = np.unpackbits(differ.view(np.uint8), axis=1, bitorder="little")
+    plane = np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view("<u8")
+    width = radius.bit_length()
+    start = (1 << width) - 1 - radius
+    counters = [np.full(words, ~np.uint64(0) if start >> j & 1 else 0, dtype="<u8") for j in range(width)]
+    over, at = np.zeros(words, dtype="<u8"), np.arange(words)
+    near = np.zeros(words, dtype="<u8")
+    for p in range(LANES * k):
+        if p % STRIDE == 0 and p:
+            live = over != ~np.uint64(0)
+            if not live.all():
+                at, over, counters = at[live], over[live], [c[live] for c in counters]
+                if not len(at):
+                    break
+        carry = plane[p, at]
+        for j, c in enumerate(counters):
+            counters[j], carry = c ^ carry, c & carry
+        over |= carry
+    near[at] = ~over
+    return np.unpackbits(near.view(np.uint8), bitorder="little")[:n].astype(bool)

@@ -6,7 +6,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from palimpsest.llm import simhash
-from palimpsest.llm.bitslice import clusters
+from palimpsest.llm.bitslice import clusters, within
 from palimpsest.llm.components import components
 
 
@@ -40,6 +40,37 @@ def test_bit_sliced_clusters_equal_brute_force():
             assert got.tolist() == brute(values, radius)
 
 
+def test_pairs_within_a_radius_equal_brute_force():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 63, 64, 65, 500):
+        a = rng.integers(0, 1 << 63, (n, 2), dtype=np.uint64)
+        flips = rng.random((n, 128)) < rng.random((n, 1))
+        b = a ^ np.packbits(flips, axis=1, bitorder="little").view("<u8").reshape(n, 2)
+        apart = np.bitwise_count(a ^ b).sum(axis=1)
+        for radius in (1, 3, 31, 44, 63):
+            assert within(a, b, radius).tolist() == (apart <= radius).tolist()
+
+
+def dense_family(rng, mask_bits, n):
+    """Different values that agree on the given number of bits."""
+    base, free = rng.getrandbits(64), rng.sample(range(64), 64 - mask_bits)
+    return sorted({base ^ sum(1 << b for b in free if rng.random() < 0.3) for _ in range(n)})
+
+
+def test_dense_families_lose_no_link(spark, monkeypatch):
+    """Buckets of every level are hot."""
+    monkeypatch.setattr(simhash, "BUCKET", 5)
+    for seed, bits in enumerate((16, 32, 40, 44, 49, 55)):
+        rng = random.Random(seed)
+        values = dense_family(rng, bits, 60)
+        fps = spark.createDataFrame([(simhash._signed(v),) for v in values], "fp bigint")
+        roots = {r.node: r.root for r in components(simhash.links(fps)).collect()}
+        groups = {}
+        for v, w in zip(values, brute(values, 3)):
+            groups.setdefault(w, set()).add(roots.get(simhash._signed(v), simhash._signed(v)))
+        assert all(len(g) == 1 for g in groups.values()) and len({min(g) for g in groups.values()}) == len(groups), bits
+
+
 def test_links_cut_hot_buckets_and_lose_none(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BUCKET", 5)
     values = near_values(random.Random(7), 300)
