@@ -100,3 +100,9 @@ def rank_udf(text: pd.Series, query: pd.Series) -> pd.Series:
 @F.pandas_udf(ArrayType(StringType()))
 def stems_udf(text: pd.Series) -> pd.Series:
     return pd.Series([sorted({s for s, _ in lexemes(t or "")}) for t in text])
+
+
+@F.pandas_udf(ArrayType(ArrayType(StringType())))
+def terms_udf(query: pd.Series) -> pd.Series:
+    """For each term that a query asks for, the stems of which a match holds one: the first stem of each alternative."""
+    return pd.Series([[sorted({p[0] for p in alternatives}) for kind, alternatives in parse(q or "") if kind == "and"] for q in query])

@@ -6,7 +6,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -41,3 +41,9 @@ def word_similarity(a: str, text: str) -> float:
 @F.pandas_udf(DoubleType())
 def word_similarity_udf(a: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series([word_similarity(x or "", t or "") for x, t in zip(a, text)])
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def trigrams_udf(text: pd.Series) -> pd.Series:
+    """The different trigrams of a text."""
+    return pd.Series([sorted(set(trigrams(t or ""))) for t in text])

@@ -108,11 +108,40 @@ def parse_time(s: Column) -> Column:
     return F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$"), F.try_to_timestamp(s))
 
 
-#: Words that are no alias of anything.
-NO_ALIAS = ("il", "elle", "ils", "elles", "on", "je", "tu", "nous", "vous", "lui", "leur", "moi", "toi", "soi", "eux", "ce", "cela", "ça", "ceci", "le", "la", "les", "un", "une", "des")
+#: Pronouns and determiners, which are no alias of anything.
+NO_ALIAS = (
+    "je", "tu", "il", "elle", "on", "nous", "vous", "ils", "elles", "me", "te", "se", "moi", "toi", "soi", "lui", "leur", "leurs", "en", "y",
+    "ce", "cet", "cette", "ces", "ca", "cela", "ceci", "celui", "celle", "ceux", "celles", "mon", "ma", "mes", "ton", "ta", "tes", "son", "sa", "ses",
+    "notre", "nos", "votre", "vos", "le", "la", "les", "un", "une", "des", "du", "de", "au", "aux", "qui", "que", "quoi", "dont", "ou",
+    "the", "it", "they", "them", "its",
+)
+#: Fixed value: marks around an alias that do not count when it is compared.
+AROUND = "'\u2019.,;:!?"
 
 
 def clean_aliases(aliases: Column) -> Column:
-    """Trimmed aliases of two characters or more that are no pronoun or article, the first of those equal but for case."""
-    trimmed = F.filter(F.transform(aliases, lambda a: F.trim(a)), lambda a: (F.length(a) >= 2) & ~F.lower(a).isin(*NO_ALIAS))
-    return F.filter(trimmed, lambda a, i: F.array_position(F.transform(trimmed, F.lower), F.lower(a)) == i + 1)
+    """Trimmed aliases of two characters or more that are no pronoun or determiner, the first of those equal but for case and marks around."""
+    bare = lambda a: F.lower(F.btrim(a, F.lit(AROUND)))
+    trimmed = F.filter(F.transform(aliases, lambda a: F.trim(a)), lambda a: (F.length(bare(a)) >= 2) & ~bare(a).isin(*NO_ALIAS))
+    return F.filter(trimmed, lambda a, i: F.array_position(F.transform(trimmed, bare), bare(a)) == i + 1)
+
+
+def query_text(requester: Column, subjects: Column, recent: Column, question: Column, last: int = 4) -> Column:
+    """The text of a query to embed: who asks, what is known to be meant, the last messages, the question.
+
+    recent: array of struct (author_key, content), oldest first. The words are fixed.
+    """
+    asks = F.when(F.coalesce(requester, F.lit("")) != "", F.concat(F.lit("Demandeur : "), requester, F.lit("\n"))).otherwise("")
+    meant = F.array_join(F.transform(F.coalesce(subjects, F.array().cast("array<string>")), lambda s: F.concat(F.lit("Sujet mentionné : "), s, F.lit("\n"))), "")
+    kept = F.slice(recent, F.greatest(F.size(recent) - last, F.lit(0)) + 1, F.lit(last))
+    lines = F.array_join(F.transform(kept, lambda m: F.concat(m["author_key"], F.lit(" : "), m["content"], F.lit("\n"))), "")
+    context = F.when(F.size(recent) > 0, F.concat(F.lit("\nContexte récent :\n"), lines)).otherwise("")
+    return F.concat(asks, meant, context, F.lit("\nQuestion actuelle :\n"), F.coalesce(question, F.lit("")))
+
+
+def parse_cursor(s: Column) -> Column:
+    """The struct (at, id) of a cursor; null if it is none."""
+    raw = F.unbase64(F.when(s.rlike("^[A-Za-z0-9+/]+={0,2}$") & (F.length(s) % 4 == 0), s)).cast("string")
+    whole = F.when(raw.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{6}\|-?\d{1,18}$"), raw)
+    at = F.try_to_timestamp(F.split_part(whole, F.lit("|"), F.lit(1))).cast("timestamp_ntz")
+    return F.when(at.isNotNull(), F.struct(at.alias("at"), F.split_part(whole, F.lit("|"), F.lit(2)).cast("bigint").alias("id")))

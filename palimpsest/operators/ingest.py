@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..schema import Config
+from .access import bounded, grants, guard, like, reason
+from .search import latest_units, restrict, top
 
 
 def replay_once(messages: DataFrame) -> DataFrame:
@@ -110,6 +112,13 @@ def delete_conversations(conversations: DataFrame, messages: DataFrame, units: D
     }
 
 
+def add_participants(participants: DataFrame, declared: DataFrame) -> DataFrame:
+    """Participants after declarations (conversation_id, participant_key): they accumulate, and who had left is back."""
+    asked = declared.select("conversation_id", "participant_key").distinct().withColumn("asked", F.lit(True))
+    rows = participants.select("conversation_id", "participant_key", "left").join(asked, ["conversation_id", "participant_key"], "full_outer")
+    return rows.select("conversation_id", "participant_key", (F.coalesce("left", F.lit(False)) & F.col("asked").isNull()).alias("left"))
+
+
 def declare(old: DataFrame, new: DataFrame) -> DataFrame:
     """Conversations after declarations (conversation_id, workspace_id, scope, ord): the last scope; another workspace's is refused."""
     owner = old.select("conversation_id", F.col("workspace_id").alias("owner"), F.col("deleted").alias("gone"))
@@ -125,27 +134,36 @@ def grant(acl: DataFrame, changes: DataFrame) -> DataFrame:
     return last.where("permission IS NOT NULL")
 
 
-def list_messages(messages: DataFrame, units: DataFrame, conversations: DataFrame, seen: DataFrame, acl: DataFrame, queries: DataFrame, limit: int, after: DataFrame | None = None) -> DataFrame:
+def grants_of(acl: DataFrame) -> DataFrame:
+    """Grants of each unit in the order of principals: unit_id, principal_key, permission, place."""
+    place = F.row_number().over(Window.partitionBy("unit_id").orderBy("principal_key", "permission"))
+    return acl.select("unit_id", "principal_key", "permission", place.alias("place"))
+
+
+def list_messages(messages: DataFrame, units: DataFrame, conversations: DataFrame, seen: DataFrame, acl: DataFrame, queries: DataFrame, limit: int, after: DataFrame | None = None, conversation_ids: list[str] | None = None, metadata: Column | None = None) -> DataFrame:
     """A page of readable messages, newest first, one more than the limit to tell whether another page follows.
 
-    after: query_id, at, id: the last row of the page before.
+    after: query_id, at, id: the last row of the page before. Readable conversations come first: their newest messages meet
+    the queries that read them, and messages read by grant only come by their units.
     """
-    from .access import bounded, guard, with_access
-    from .search import latest_units, top
-
-    live = guard(messages.where(~F.col("deleted")), conversations)
-    rows = live.join(bounded(queries, "query_id", "workspace_id"), "workspace_id")
+    newest = (F.desc("created_at"), F.desc("message_id"))
+    live = guard(restrict(messages.where(~F.col("deleted")), conversation_ids, metadata), conversations)
+    shown = live
+    if after is None:  # no page needs more of one conversation
+        shown = top(live, limit + 1, *newest, by="conversation_id").drop("rank")
+    scope = F.col("scope")
+    by_scope = shown.join(seen.select("query_id", "conversation_id", "scope"), "conversation_id").withColumn("access_reason", reason(scope)).drop("scope")
     own = latest_units(units).select(F.col("anchor_message_id").alias("message_id"), "unit_id")
-    rows = with_access(rows.join(own, "message_id", "left"), seen, acl, queries)
+    granted = grants(acl, queries).join(own, "unit_id").select("query_id", "message_id").distinct().join(bounded(queries, "query_id", "workspace_id"), "query_id")
+    by_grant = live.join(granted, ["message_id", "workspace_id"]).join(seen.select("query_id", "conversation_id"), ["query_id", "conversation_id"], "left_anti").withColumn("access_reason", F.lit("explicit_acl"))
+    rows = by_scope.unionByName(by_grant)
     if after is not None:
-        rows = rows.join(bounded(after), "query_id", "left").where(F.col("at").isNull() | (F.struct("created_at", "message_id") < F.struct(F.col("at").alias("created_at"), F.col("id").alias("message_id"))))
-    page = top(rows, limit + 1, F.desc("created_at"), F.desc("message_id"))
+        rows = rows.join(like(after, queries), "query_id", "left").where(F.col("at").isNull() | (F.struct("created_at", "message_id") < F.struct(F.col("at").alias("created_at"), F.col("id").alias("message_id"))))
+    page = top(rows, limit + 1, *newest)
     more = F.max("rank").over(Window.partitionBy("query_id")) > limit
     return page.withColumn("more", more).where(F.col("rank") <= limit)
 
 
 def list_conversations(conversations: DataFrame, seen: DataFrame, limit: int, prefix: str = "", after: str = "") -> DataFrame:
-    from .search import top
-
     rows = seen.where(F.col("conversation_id").startswith(prefix) & (F.col("conversation_id") > after))
     return top(rows.select("query_id", "conversation_id", "scope"), limit, F.asc("conversation_id"))

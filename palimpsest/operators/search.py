@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.text import tokens
@@ -113,11 +114,12 @@ def _block_scores(own: DataFrame, rights: DataFrame, asked: DataFrame, block: in
     none = F.array().cast("array<struct<q:int,s:int>>")
     rows = rows.select(*columns, F.concat(F.coalesce("readers", none), F.coalesce("granted", none)).alias("readers"))
     names = ["query_id", *_UNIT, "raw_score", "access_reason"]
+    id_type = to_arrow_type(kind)
     reasons = pa.array(["workspace_scope", "conversation_participant", "explicit_acl"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths = np.linalg.norm(matrix, axis=1)
-        who = pa.array(ids)
+        who = pa.array(ids, id_type)
         for b in batches:
             if not b.num_rows:
                 continue

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.filters import compile_filter
 from ..functions.vector import cosine, normalised
 from ..operators import access, evaluate, fusion, graph, ingest, models, search
+from ..operators import jobs as work
 from ..schema import Config
 from ..sources.fixtures import Fixtures
 from .duck import oracle
@@ -59,7 +60,7 @@ def search_args(x: Fixtures) -> tuple:
 
 @query("SELECT message_id, author_key, content FROM messages WHERE message_id = 3001")
 def message_by_id(x):
-    return x.messages.where("conv_id = 3 AND turn = 1").select("message_id", "author_key", "content")
+    return x.messages.where("message_id = 3001").select("message_id", "author_key", "content")
 
 
 @query("""SELECT s.message_id AS spot, m.message_id, m.sequence_number FROM messages s JOIN messages m ON m.conversation_id = s.conversation_id AND NOT m.deleted
@@ -122,6 +123,21 @@ def list_messages_page(x):
     return rows.select("query_id", "message_id", "rank", "more")
 
 
+@query("""SELECT query_id, message_id, place - 10 AS rank, n > 20 AS more FROM (
+  SELECT q.query_id, m.message_id, row_number() OVER (PARTITION BY q.query_id ORDER BY m.created_at DESC, m.message_id DESC) AS place, count(*) OVER (PARTITION BY q.query_id) AS n
+  FROM queries q JOIN messages m USING (workspace_id) JOIN convs c ON c.conversation_id = m.conversation_id AND NOT c.deleted
+  LEFT JOIN readable r ON r.query_id = q.query_id AND r.conversation_id = m.conversation_id
+  LEFT JOIN units u ON u.anchor_message_id = m.message_id AND u.active
+  WHERE NOT m.deleted AND (r.conversation_id IS NOT NULL OR EXISTS (SELECT 1 FROM acl a WHERE a.unit_id = u.unit_id AND a.principal_key = q.requester))
+) WHERE place BETWEEN 11 AND 20""")
+def list_messages_next(x):
+    args = (x.messages, x.units, x.conversations, seen(x), x.acl, x.queries, 10)
+    page = ingest.list_messages(*args)
+    last = page.where("rank = 10").select("query_id", T.parse_cursor(T.cursor(F.col("created_at"), F.col("message_id"))).alias("p")).select("query_id", "p.*")
+    rows = ingest.list_messages(*args, after=last).join(last.select("query_id"), "query_id", "left_semi")
+    return rows.select("query_id", "message_id", "rank", "more")
+
+
 @query("""SELECT query_id, conversation_id, scope, row_number() OVER (PARTITION BY query_id ORDER BY conversation_id) AS rank FROM readable
 WHERE starts_with(conversation_id, 'conv_0000') AND conversation_id > 'conv_000003' QUALIFY rank <= 5""")
 def list_conversations_prefix(x):
@@ -264,14 +280,21 @@ def hybrid_search(x):
     return hybrid(store(x), x.queries, Config(minimum_dense_score=0.1, max_memory_tokens=600))
 
 
-ORACLES["parameter_sweep"] = oracle("""SELECT floor_, count(*) AS candidates, count(DISTINCT query_id) AS queries FROM dense, (SELECT unnest([0.0, 0.1, 0.2, 0.3])::DOUBLE AS floor_) WHERE raw_score >= floor_ GROUP BY floor_""")
+ORACLES["parameter_sweep"] = oracle("""SELECT floor_, gate, kept, count(*) AS candidates, count(DISTINCT query_id) AS queries, round(max(raw_score), 6) AS best_score
+FROM dense JOIN (SELECT query_id, max(raw_score) AS best, list_sort(list(raw_score))[(count(*) // 2 + 1)::INT] AS median FROM dense GROUP BY query_id) USING (query_id),
+  (SELECT unnest([0.0, 0.1, 0.2, 0.3])::DOUBLE AS floor_), (SELECT unnest([0.0, 0.35, 0.45])::DOUBLE AS gate), (SELECT unnest([5, 20]) AS kept)
+WHERE raw_score >= floor_ AND NOT (best < gate AND best - median < 0.15) AND rank <= kept GROUP BY floor_, gate, kept""")
 
 
 @query(None)
 def parameter_sweep(x):
+    """A grid of floors, no-answer gates and limits in one job."""
     rows = search.dense_search(*search_args(x))
-    each = rows.withColumn("floor_", F.explode(F.array(*map(F.lit, (0.0, 0.1, 0.2, 0.3))))).where("raw_score >= floor_")
-    return each.groupBy("floor_").agg(F.count(F.lit(1)).alias("candidates"), F.count_distinct("query_id").alias("queries"))
+    shape = search.dense_shape(rows)
+    grid = F.array(*(F.struct(F.lit(f).alias("floor_"), F.lit(g).alias("gate"), F.lit(k).alias("kept")) for f in (0.0, 0.1, 0.2, 0.3) for g in (0.0, 0.35, 0.45) for k in (5, 20)))
+    each = rows.join(shape, "query_id").withColumn("p", F.explode(grid)).select("*", "p.*")
+    kept = each.where("raw_score >= floor_ AND NOT (best < gate AND best - median < 0.15) AND rank <= kept")
+    return kept.groupBy("floor_", "gate", "kept").agg(F.count(F.lit(1)).alias("candidates"), F.count_distinct("query_id").alias("queries"), F.round(F.max("raw_score"), 6).alias("best_score"))
 
 
 @query("""SELECT q.query_id, coalesce(d.n, 0) AS dense, coalesce(l.n, 0) AS lexical, coalesce(f.n, 0) AS fused, coalesce(m.n, 0) AS merged FROM queries q
@@ -520,6 +543,24 @@ def graph_validate(x):
     return graph.valid(rows).select("relation_id", "confidence")
 
 
+@query("""SELECT canonical_key, relation_type, target, confidence, observed_at, CASE WHEN relation_type = 'a_pour_etat' THEN lead(observed_at) OVER (PARTITION BY canonical_key, relation_type ORDER BY observed_at) END AS valid_until, sources FROM (
+  SELECT 'customer:' || o_custkey AS canonical_key, CASE WHEN o_orderkey % 3 = 0 THEN 'a_pour_etat' ELSE 'a_commande' END AS relation_type, lower(trim(o_orderstatus)) AS target, o_orderdate::TIMESTAMP AS observed_at,
+    max(least(1.0, o_totalprice / 300000)) AS confidence, string_agg(DISTINCT (o_orderkey % 9)::VARCHAR, ',' ORDER BY (o_orderkey % 9)::VARCHAR) AS sources
+  FROM orders WHERE o_orderkey % 7 <> 0 GROUP BY 1, 2, 3, 4) QUALIFY true""".replace(" QUALIFY true", "").replace("lead(observed_at) OVER (PARTITION BY canonical_key, relation_type ORDER BY observed_at)", "min(observed_at) OVER (PARTITION BY canonical_key, relation_type ORDER BY observed_at RANGE BETWEEN INTERVAL 1 MICROSECOND FOLLOWING AND UNBOUNDED FOLLOWING)"))
+def graph_apply(x):
+    said = x.read("orders").selectExpr("'ws1' AS workspace_id", "concat('customer:', o_custkey) AS source_entity_id", "CASE WHEN o_orderkey % 3 = 0 THEN 'a_pour_etat' ELSE 'a_commande' END AS relation_type", "CAST(NULL AS STRING) AS target_entity_id", "CASE WHEN o_orderkey % 7 <> 0 THEN o_orderstatus END AS target_literal", "CAST(o_orderdate AS TIMESTAMP_NTZ) AS observed_at", "CAST(o_orderdate AS TIMESTAMP_NTZ) AS valid_from", "o_totalprice / 300000 AS confidence", "array(o_orderkey % 9) AS sources", "o_orderkey AS ingest_ord")
+    names = x.entities.selectExpr("workspace_id", "canonical_key", "display_name", "array() AS aliases", "true AS resolved", "1 AS ingest_ord").withColumn("aliases", F.array().cast("array<string>"))
+    stored = graph.apply(names, said, CONFIG.single_valued)[1]
+    sources = F.array_join(F.array_sort(F.transform("sources", lambda s: s.cast("string"))), ",").alias("sources")
+    return stored.select(F.col("source_entity_id").alias("canonical_key"), "relation_type", F.lower(F.trim("target_literal")).alias("target"), "confidence", "observed_at", "valid_until", sources)
+
+
+@query("""SELECT relation_id, gone AS invalidated, CASE WHEN relation_type = 'a_pour_etat' AND NOT gone THEN min(observed_at) OVER (PARTITION BY source_entity_id, relation_type, gone ORDER BY observed_at RANGE BETWEEN INTERVAL 1 MICROSECOND FOLLOWING AND UNBOUNDED FOLLOWING) END AS valid_until
+FROM (SELECT *, invalidated OR relation_id NOT IN (SELECT relation_id FROM relation_sources JOIN messages USING (message_id) WHERE NOT deleted) AS gone FROM relations)""")
+def graph_reevaluate_chain(x):
+    return graph.reevaluated_chains(x.relations, x.relation_sources, x.messages, CONFIG.single_valued).select("relation_id", "invalidated", "valid_until")
+
+
 # --- ingestion --------------------------------------------------------------------------------------------------
 
 
@@ -574,15 +615,44 @@ def unit_upsert(x):
     return ingest.upsert(x.units.drop("embedding"), "conversation_id", "updated_at").select("unit_id", "anchor_message_id")
 
 
-@query("""SELECT message_id, line FROM (
-  SELECT message_id, role, deleted,
-    coalesce('Conversation impliquant ' || w.who || '.' || chr(10) || chr(10), '') || CASE WHEN len(list_filter(b, lambda t: t IS NOT NULL)) > 0 THEN 'Contexte précédent :' || chr(10) || array_to_string(b, '') || chr(10) ELSE '' END || 'Message principal :' || chr(10) || author_key || ' : ' || content AS line
-  FROM (SELECT *, coalesce(list(author_key || ' : ' || content || chr(10)) OVER (PARTITION BY conversation_id ORDER BY sequence_number ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), []) AS b FROM messages WHERE NOT deleted) m
-  LEFT JOIN (SELECT conversation_id, CASE WHEN count(*) = 1 THEN min(participant_key) ELSE array_to_string(list_sort(list(participant_key))[:-2], ', ') || ' et ' || max(participant_key) END AS who FROM participants WHERE NOT "left" GROUP BY 1) w USING (conversation_id)
-) WHERE role IN ('user', 'assistant')""")
+#: Bytes of a unit in the named query: less than many messages with their context, more than any alone.
+UNIT_CHARS = 2400
+
+
+@query(f"""SELECT message_id, CASE WHEN kept = 0 THEN sequence_number ELSE sequence_number - span END AS start_sequence, preamble || CASE WHEN kept = 2 THEN 'Contexte précédent :' || chr(10) || l2 || l1 || chr(10) WHEN kept = 1 THEN 'Contexte précédent :' || chr(10) || l1 || chr(10) ELSE '' END || main AS line
+FROM (SELECT *, CASE WHEN l1 IS NULL OR strlen(l1) > room THEN 0 WHEN l2 IS NULL OR strlen(l1) + strlen(l2) > room THEN 1 ELSE 2 END AS kept,
+    CASE WHEN l2 IS NULL OR strlen(l1) + strlen(l2) > room THEN sequence_number - s1 ELSE sequence_number - s2 END AS span
+  FROM (SELECT *, {UNIT_CHARS} - strlen(preamble) - strlen(main) - strlen('Contexte précédent :' || chr(10) || chr(10)) AS room
+    FROM (SELECT message_id, role, sequence_number, coalesce('Conversation impliquant ' || w.who || '.' || chr(10) || chr(10), '') AS preamble, 'Message principal :' || chr(10) || author_key || ' : ' || content AS main,
+        lag(author_key || ' : ' || content || chr(10)) OVER c AS l1, lag(author_key || ' : ' || content || chr(10), 2) OVER c AS l2, lag(sequence_number) OVER c AS s1, lag(sequence_number, 2) OVER c AS s2
+      FROM messages m LEFT JOIN (SELECT conversation_id, CASE WHEN count(*) = 1 THEN min(participant_key) ELSE array_to_string(list_sort(list(participant_key))[:-2], ', ') || ' et ' || max(participant_key) END AS who FROM participants WHERE NOT "left" GROUP BY 1) w USING (conversation_id)
+      WHERE NOT deleted WINDOW c AS (PARTITION BY conversation_id ORDER BY sequence_number)))) WHERE role IN ('user', 'assistant')""")
 def build_unit(x):
-    rows = ingest.build_units(x.messages, x.participants, Config(max_chars=1_000_000))
-    return rows.select(F.col("anchor_message_id").alias("message_id"), F.col("embedding_text").alias("line"))
+    rows = ingest.build_units(x.messages, x.participants, Config(max_chars=UNIT_CHARS))
+    return rows.select(F.col("anchor_message_id").alias("message_id"), "start_sequence", F.col("embedding_text").alias("line"))
+
+
+@query("""SELECT unit_id, principal_key, permission, row_number() OVER (PARTITION BY unit_id ORDER BY principal_key, permission) AS place FROM acl""")
+def acl_list(x):
+    return ingest.grants_of(x.acl)
+
+
+@query("""SELECT conversation_id, participant_key, bool_and(gone) AS "left" FROM (
+  SELECT conversation_id, participant_key, "left" AND conv_id % 2 = 1 AS gone FROM participants JOIN convs USING (conversation_id)
+  UNION ALL SELECT conversation_id, 'user:new', false FROM convs WHERE conv_id % 2 = 0) GROUP BY 1, 2""")
+def participants_accumulate(x):
+    even = x.conversations.where("conv_id % 2 = 0").select("conversation_id")
+    back = x.participants.join(even, "conversation_id", "left_semi").select("conversation_id", "participant_key")
+    return ingest.add_participants(x.participants, back.unionByName(even.withColumn("participant_key", F.lit("user:new"))))
+
+
+@query("""SELECT message_id, 'Demandeur : ' || author_key || chr(10) || 'Sujet mentionné : ' || role || chr(10) ||
+  CASE WHEN len(b) > 0 THEN chr(10) || 'Contexte récent :' || chr(10) || array_to_string(list_slice(b, greatest(1, len(b) - 3), len(b)), '') ELSE '' END || chr(10) || 'Question actuelle :' || chr(10) || content AS text
+FROM (SELECT *, coalesce(list(author_key || ' : ' || content || chr(10)) OVER (PARTITION BY conversation_id ORDER BY sequence_number ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), []) AS b FROM messages)""")
+def query_texts(x):
+    w = Window.partitionBy("conversation_id").orderBy("sequence_number").rowsBetween(-5, -1)
+    rows = x.messages.withColumn("recent", F.collect_list(F.struct("author_key", "content")).over(w))
+    return rows.select("message_id", T.query_text(F.col("author_key"), F.array("role"), F.col("recent"), F.col("content")).alias("text"))
 
 
 # --- keys and scalar functions ----------------------------------------------------------------------------------
@@ -695,6 +765,64 @@ def queue_head(x):
     return search.top(jobs(x).where("status = 'pending'"), 1, F.asc("ts"), F.asc("event_id"), by="job_type").select("job_type", "event_id")
 
 
+WAITING = """SELECT ['embed', 'graph_extract', 'graph_reeval'][(turn % 3 + 1)::INT] AS job_type, ['pending', 'running', 'done', 'dead'][((conv_id + turn) % 4 + 1)::INT] AS status, conversation_id, message_id FROM messages"""
+
+
+def waiting(x: Fixtures) -> DataFrame:
+    return x.messages.selectExpr("element_at(array('embed', 'graph_extract', 'graph_reeval'), CAST(turn % 3 + 1 AS INT)) AS job_type", "element_at(array('pending', 'running', 'done', 'dead'), CAST((conv_id + turn) % 4 + 1 AS INT)) AS status", "conversation_id", "to_json(struct(CAST(message_id AS STRING) AS message_id)) AS payload")
+
+
+POSITIONS = f"""SELECT c.conversation_id, coalesce(j.first, m.last, 0) AS position FROM convs c
+LEFT JOIN (SELECT conversation_id, min(sequence_number) - 1 AS first FROM ({WAITING}) JOIN messages USING (message_id, conversation_id) WHERE job_type = 'graph_extract' AND status IN ('pending', 'running') GROUP BY 1) j USING (conversation_id)
+LEFT JOIN (SELECT conversation_id, max(sequence_number) AS last FROM messages GROUP BY 1) m USING (conversation_id)"""
+
+
+@query(POSITIONS)
+def job_positions(x):
+    return work.backfilled_positions(x.conversations, x.messages, waiting(x))
+
+
+@query(f"""SELECT p.conversation_id, greatest(p.position, coalesce(d.through, 0)) AS position FROM ({POSITIONS}) p
+LEFT JOIN (SELECT conversation_id, max(sequence_number) AS through FROM messages WHERE turn % 2 = 1 GROUP BY 1) d USING (conversation_id)""")
+def job_advance(x):
+    done = x.messages.where("turn % 2 = 1").select("conversation_id", F.col("sequence_number").alias("through"))
+    return work.advanced(work.backfilled_positions(x.conversations, x.messages, waiting(x)), done)
+
+
+@query("""SELECT message_id, CASE WHEN sequence_number - conv_id % 3 >= 4 THEN created_at ELSE created_at + INTERVAL 30 SECOND END AS run_after FROM messages""")
+def flush_due(x):
+    return x.messages.select("message_id", work.due(F.col("sequence_number"), F.col("conv_id") % 3, F.col("created_at"), 4, 30).alias("run_after"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'done' WHEN user_id % 7 + 1 >= 5 THEN 'dead' ELSE 'retry' END AS outcome, CASE WHEN event_id % 2 = 0 OR user_id % 7 + 1 >= 5 THEN event_id ELSE -1 END AS moves_to FROM events""")
+def window_skip(x):
+    rows = x.read("events").selectExpr("event_id", "event_id AS through", "user_id % 7 AS attempts", "event_id % 2 = 1 AS failed")
+    return work.skip_after_last_attempt(rows, 5).select("event_id", "outcome", F.coalesce("moves_to", F.lit(-1)).alias("moves_to"))
+
+
+@query("""SELECT message_id, CASE WHEN role IN ('user', 'assistant') AND turn % 4 <> 3 AND conv_id % 2 = 0 AND turn % 3 <> 1 THEN 'searchable' ELSE 'stored' END AS status,
+  role IN ('user', 'assistant') AND turn % 4 <> 3 AND NOT (conv_id % 2 = 0 AND turn % 3 <> 1) AS embed_scheduled, CASE WHEN turn % 4 = 3 THEN 'already_requested' ELSE 'pending' END AS graph_status FROM messages""")
+def ingest_modes(x):
+    rows = x.messages.selectExpr("message_id", "role", "CASE WHEN conv_id % 2 = 0 THEN 'searchable' END AS consistency", "turn % 4 = 3 AS replayed", "turn % 3 = 1 AS embed_failed")
+    return work.ingest_status(rows, CONFIG.indexed_roles, True).select("message_id", "status", "embed_scheduled", "graph_status")
+
+
+@query("""SELECT event_id, CASE WHEN user_id % 4 = 1 AND user_id % 7 > 3 THEN 'pending' ELSE ['pending', 'running', 'done', 'dead'][(user_id % 4 + 1)::INT] END AS status FROM events""")
+def queue_reclaim(x):
+    rows = jobs(x).withColumn("locked_at", F.expr("CAST(ts AS TIMESTAMP_NTZ) - make_dt_interval(0, 0, CAST(attempts * 3 AS INT), 0)"))
+    out = work.reclaimed(rows.withColumn("now", F.expr("CAST(ts AS TIMESTAMP_NTZ)")), F.col("now"))
+    return out.select("event_id", "status")
+
+
+@query("""SELECT c_custkey AS key, 'client ' || (c_custkey % 50) AS label, 'ws' || (c_custkey % 50 % 3) AS workspace_id FROM customer WHERE c_custkey % 50 % 5 <> 0 AND c_custkey % 11 <> 0""")
+def client_resolve(x):
+    named = x.spark.range(50).selectExpr("concat('client ', id) AS label", "concat('ws', id % 3) AS workspace_id", "array('user:*') AS identities", "concat('secret-', id) AS token", "CAST(NULL AS TIMESTAMP) AS revoked_at")
+    gone = x.spark.range(0, 50, 5).selectExpr("concat('client ', id) AS label")
+    clients = work.revoke(work.valid_clients(named), gone, F.lit("2026-01-01").cast("timestamp"))
+    tokens = x.read("customer").selectExpr("c_custkey AS key", "CASE WHEN c_custkey % 11 = 0 THEN concat('wrong-', c_custkey) ELSE concat('secret-', c_custkey % 50) END AS token")
+    return work.resolve(clients, tokens).select("key", "label", "workspace_id")
+
+
 @query("SELECT (SELECT count(*) FROM units WHERE active) AS units, (SELECT count(*) FROM messages WHERE NOT deleted) AS messages, (SELECT count(*) FROM convs WHERE NOT deleted) AS conversations")
 def stats_counts(x):
     one = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
@@ -721,11 +849,17 @@ def candidate_entities(x):
     return models.similar_entities(x.entities, texts)
 
 
+POOL = ORACLES["to_results"].replace("QUALIFY rank <= 8", "QUALIFY rank <= 16").replace("2400", "8000")
+ORACLES["rerank_results"] = POOL.replace("SELECT * FROM results", """SELECT query_id, new AS rank, CASE WHEN n > 3 THEN (n - new + 1)::DOUBLE ELSE score END AS score, score AS fusion_score FROM (
+  SELECT query_id, score, n, CASE WHEN n > 3 THEN row_number() OVER (PARTITION BY query_id ORDER BY length(content) DESC, rank) ELSE rank END AS new
+  FROM (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM results)) WHERE new <= 3""")
+
+
 @query(None)
 def rerank_results(x):
     pool = hybrid(store(x), x.queries, Config(minimum_dense_score=0.1, final_top_k=16)).select("query_id", "rank", "content", "score")
     pool = pool.join(access.bounded(x.queries, "query_id", "query_text"), "query_id")
-    return models.rerank(pool, _longest_first, 8).select("query_id", "rank", "score", "fusion_score")
+    return models.rerank(pool, _longest_first, 3).select("query_id", "rank", "score", "fusion_score")
 
 
 def _longest_first(question: str, texts: list[str]) -> list[int]:
@@ -738,12 +872,16 @@ def embed_messages(x):
     return rows.select("message_id", F.round(F.col("embedding")[0], 6).alias("first"), F.size("embedding").alias("dim"))
 
 
-@query(None)
+@query("""SELECT conversation_id, win AS "window", coalesce(strlen(string_agg(line, chr(10) ORDER BY sequence_number) FILTER (upto <= 4000)), 0) AS bytes, count(*) AS messages FROM (
+  SELECT *, sum(strlen(line) + 1) OVER (PARTITION BY conversation_id, win ORDER BY sequence_number) AS upto FROM (
+    SELECT conversation_id, sequence_number, author_key || ' : ' || content AS line, (row_number() OVER (PARTITION BY conversation_id ORDER BY sequence_number) - 1) // 12 AS win FROM messages WHERE NOT deleted)) GROUP BY 1, 2""")
 def extraction_windows(x):
     return models.extraction_windows(x.messages).select("conversation_id", "window", F.octet_length("text").alias("bytes"), F.size("message_ids").alias("messages"))
 
 
-@query(None)
+@query("""SELECT strategy, count(*) AS queries, count(*) FILTER (hit) AS solved FROM (
+  SELECT strategy, query_id, bool_or(EXISTS (SELECT 1 FROM dense_all g WHERE g.query_id = f.query_id AND g.anchor_message_id = f.anchor_message_id AND g.raw_score >= 0.25)) AS hit
+  FROM (SELECT 'dense' AS strategy, query_id, anchor_message_id FROM dense WHERE raw_score >= 0.1 UNION ALL SELECT 'lexical', query_id, anchor_message_id FROM lexical) f GROUP BY 1, 2) GROUP BY 1""")
 def corpus_audit(x):
     lists = candidates(store(x), x.queries, CONFIG)
     found = [rows.select(F.lit(name).alias("strategy"), "query_id", "anchor_message_id") for name, rows in lists]

@@ -51,9 +51,24 @@ TABLES = {
 }
 
 
+WHOLE = {"tinyint", "smallint", "int", "bigint"}
+TIME = {"timestamp", "timestamp_ntz"}
+#: Types that a column may have, in every table; other columns (keys of the caller's) may have any.
+KINDS = {
+    "sequence_number": WHOLE, "start_sequence": WHOLE, "end_sequence": WHOLE, "deleted": {"boolean"}, "active": {"boolean"}, "left": {"boolean"}, "invalidated": {"boolean"},
+    "created_at": TIME, "updated_at": TIME, "observed_at": TIME, "valid_from": TIME, "valid_until": TIME, "confidence": {"double", "float"},
+    "embedding": {"array<float>", "array<double>"}, "subjects": {"array<string>"},
+    **dict.fromkeys(("workspace_id", "conversation_id", "author_key", "role", "content", "scope", "participant_key", "principal_key", "permission", "relation_type", "target_literal", "metadata", "requester", "query_text"), {"string"}),
+}
+
+
 def check(name: str, df: DataFrame) -> DataFrame:
-    """df, if it has the columns of the logical table; a ValueError otherwise."""
-    missing = [c for c in TABLES[name].split() if c not in df.columns]
+    """df, if it has the columns of the logical table in their types; a ValueError otherwise."""
+    kinds = dict(df.dtypes)
+    missing = [c for c in TABLES[name].split() if c not in kinds]
     if missing:
         raise ValueError(f"{name} lacks {', '.join(missing)}")
+    wrong = [f"{c} is {kinds[c]}" for c in TABLES[name].split() if c in KINDS and kinds[c] not in KINDS[c]]
+    if wrong:
+        raise ValueError(f"{name}: {', '.join(wrong)}")
     return df

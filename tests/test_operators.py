@@ -1,10 +1,13 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.operators import access, graph, ingest, models, search
-from palimpsest.plans.search import Store, candidates
+from palimpsest.operators import access, fusion, graph, ingest, models, search
+from palimpsest.operators import jobs as work
+from palimpsest.functions import french, similarity
+from palimpsest.plans.search import Store, answer, candidates, excerpts, hybrid
 from palimpsest.schema import Config, check
 from palimpsest.sources import files
 from palimpsest.streaming import ingest as stream
@@ -50,6 +53,8 @@ def test_every_strategy_checks_the_requester(spark, store):
         candidates(store, queries(spark, ("w", "a")), Config(), ("sparse",))
     with pytest.raises(ValueError, match="lacks"):
         check("acl", store.units)
+    with pytest.raises(ValueError, match="deleted is string"):
+        check("messages", store.messages.withColumn("deleted", F.lit("no")))
 
 
 def test_a_filter_never_adds_rows(spark, store):
@@ -152,3 +157,138 @@ def test_stream_drops_replays_and_closes_windows(spark, tmp_path):
         (source / f"{k}.json").write_text("\n".join(lines))
         out = run()
     assert ("a", 1, 4, 4, "full") in out and ("a", 5, 6, 2, "idle") in out and ("b", 1, 1, 1, "idle") in out and len([x for x in out if x[0] != "c"]) == 3
+
+
+@pytest.fixture(scope="module")
+def graph_store(spark, store):
+    entities = spark.createDataFrame([(f"e{k}", "w", "person", f"person:{n.lower()}", n) for k, n in enumerate(["Ana", "Ben", "Cleo", "Dan"])], "entity_id string, workspace_id string, entity_type string, canonical_key string, display_name string")
+    rows = [("r1", "e0", "knows", "e1", None, 1), ("r2", "e1", "knows", "e2", None, 2), ("r3", "e2", "knows", "e3", None, 3), ("r4", "e0", "likes", None, "plums", 4)]
+    rel = spark.createDataFrame(rows, "relation_id string, source_entity_id string, relation_type string, target_entity_id string, target_literal string, d int")
+    at = F.make_timestamp_ntz(F.lit(2026), F.lit(1), "d", F.lit(0), F.lit(0), F.lit(0))
+    rel = rel.withColumns({"workspace_id": F.lit("w"), "observed_at": at, "valid_from": at, "valid_until": F.lit(None).cast("timestamp_ntz"), "invalidated": F.lit(False), "confidence": F.lit(0.5)}).drop("d")
+    sources = spark.createDataFrame([("r1", 101), ("r1", 102), ("r2", 113), ("r3", 112), ("r4", 104), ("r4", 121)], "relation_id string, message_id bigint")
+    vectors = spark.createDataFrame([("r2", [1.0, 0.0]), ("r1", [0.0, 1.0])], "relation_id string, embedding array<double>")
+    return Store(store.messages, store.conversations, store.participants, store.units, store.acl, entities, rel, sources, vectors)
+
+
+def test_graph_is_a_strategy_with_facts_beside_results(spark, graph_store):
+    q = queries(spark, ("w", "user:a")).withColumn("subjects", F.array(F.lit("user:Ana")))
+    rows = candidates(graph_store, q, Config(), ("graph",))[0][1].orderBy("rank").collect()
+    # the fact with the nearest vector leads, then the one with another vector, then those without
+    assert [(r.anchor_message_id, r.raw_score) for r in rows] == [(113, 0.5), (102, 1.0), (101, 1.0), (104, 1.0)]
+    assert rows[0].entities == ["Ben", "Cleo"] and rows[3].entities == ["Ana", "plums"]
+    full = answer(graph_store, q, Config(minimum_dense_score=-1.0, fuse_graph=True, graph_top_k=2))
+    facts = full.facts.orderBy("place").collect()
+    assert [(f.relation_id, f.sources) for f in facts] == [("r2", [113]), ("r1", [102])]  # limited by rows, then by facts
+    results = full.results.collect()
+    assert results and all(r.source_type == "original_messages" and "final" not in r.asDict() for r in results)
+    assert all((r.participants is None) == (r.access_reason == "explicit_acl") for r in results)
+    text = full.context.first().block
+    assert text.index(fusion.FACTS_TITLE) < text.index("- Ben knows Cleo (observé le 2026-01-02, valable depuis le 2026-01-02)") < text.index("source: ")
+    only = answer(graph_store, q, Config(minimum_dense_score=-1.0), strategies=("lexical", "graph"), conversation_ids=["c1"])
+    assert {f.relation_id for f in only.facts.collect()} == {"r2"} and {r.conversation_id for r in only.results.collect()} == {"c1"}
+    with pytest.raises(Exception, match="workspace and requester"):
+        candidates(graph_store, queries(spark, ("w", "")), Config(), ("graph",))[0][1].collect()
+
+
+def test_a_failing_strategy_does_not_fail_the_search(spark, store, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    broken = Store(store.messages, store.conversations, store.participants, store.units.withColumn("embedding", F.array(F.lit(1.0))), store.acl)
+    q, errors = queries(spark, ("w", "user:a")), {}
+    found = candidates(broken, q, Config(), errors=errors)
+    assert [n for n, _ in found] == ["lexical"] and "numbers were asked for" in errors["dense"] and found[0][1].count() > 0
+    with pytest.raises(RuntimeError, match="all strategies"):
+        candidates(broken, q, Config(), ("dense",), errors={})
+    with pytest.raises(Exception, match="numbers"):
+        search.dense_candidates(broken.units, store.messages, store.conversations, access.readable(store.conversations, store.participants, q), store.acl, q, dim=2).collect()
+
+
+def test_gate_pool_and_exclusions_in_the_plan(spark, store):
+    q = queries(spark, ("w", "user:a"))
+    low = Config(minimum_dense_score=-1.0, max_memory_tokens=10_000)
+    both = lambda c: {n: r.count() for n, r in candidates(store, q, c)}
+    gated = both(Config(minimum_dense_score=-1.0, no_answer_best_below=2.0, no_answer_spread_below=2.0))
+    assert gated["dense"] == 0 < both(low)["dense"] and gated["lexical"] == both(low)["lexical"] > 0
+    every = {r.message_id for r in excerpts(store, q, low).collect()}
+    out = spark.createDataFrame([(0, 102)], "query_id int, message_id bigint")
+    assert {r.message_id for r in excerpts(store, q, low, exclude=out).collect()} == every - {102}
+    two = Config(minimum_dense_score=-1.0, max_memory_tokens=10_000, final_top_k=1, rerank_pool=8)
+    plain = hybrid(store, q, two).collect()
+    turned = hybrid(store, q, two, reranker=lambda question, texts: list(range(len(texts)))[::-1]).collect()
+    assert len(plain) == len(turned) == 1 and plain[0].conversation_id != turned[0].conversation_id and turned[0].score > 1
+
+
+def test_similar_entities_equal_a_comparison_of_all(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randint(2, 6)))
+    names = [(f"e{i:03}", "w", f"{word()} {word()}"[: rng.randint(2, 12)].strip(), i % 5) for i in range(150)]
+    texts = [(k, "w", " ".join(word() for _ in range(8))) for k in range(12)] + [(99, "w", ""), (98, "other", names[0][2])]
+    e = spark.createDataFrame([(*n[:3], [word()] if n[3] else None, n[3]) for n in names], "entity_id string, workspace_id string, display_name string, aliases array<string>, updated int")
+    called = {r.entity_id: [r.display_name, *(r.aliases or [])] for r in e.collect()}
+    e = e.withColumn("updated_at", F.timestamp_seconds("updated"))
+    t = spark.createDataFrame(texts, "key int, workspace_id string, text string")
+    got = {}
+    for r in models.similar_entities(e, t, 0.4, 7).collect():
+        got.setdefault(r.key, []).append((r.entity_id, round(r.score, 9)))
+    for k, w, text in texts:
+        scored = [(max(similarity.word_similarity(n, text) for n in called[i]), u, i) for i, ww, _, u in names if ww == w]
+        best = sorted((x for x in scored if x[0] >= 0.4), key=lambda x: (-x[0], -x[1], x[2]))[:7]
+        assert sorted(got.get(k, [])) == sorted((i, round(s, 9)) for s, _, i in best), k
+
+
+def test_stemmed_search_equals_a_scan(spark, store):
+    rng = random.Random(9)
+    words = ["cheval", "chevaux", "pomme", "pommes", "jardin", "vert", "verte", "le", "manger", "mangeait"]
+    said = [(100 + i, "c1", "w", i, "user:a", "user", " ".join(rng.choice(words) for _ in range(rng.randint(1, 6))), f"r{i}", False, "{}") for i in range(80)]
+    m = spark.createDataFrame(said, "message_id bigint, conversation_id string, workspace_id string, sequence_number bigint, author_key string, role string, content string, request_id string, deleted boolean, metadata string").withColumn("created_at", F.expr("TIMESTAMP_NTZ '2026-01-01 00:00:00'"))
+    asked = ["cheval pomme", "cheval or jardin", '"pommes vertes"', "pomme -jardin", "le", "", "manger verte cheval", "absent or pomme jardin"]
+    q = spark.createDataFrame([(k, "w", "user:a", None, t, []) for k, t in enumerate(asked)], "query_id int, workspace_id string, requester string, embedding array<double>, query_text string, subjects array<string>")
+    seen = access.readable(store.conversations, store.participants, q)
+    got = {}
+    for r in models.stemmed_search(store.units.where("false"), m, store.conversations, seen, store.acl, q, k=100).collect():
+        got.setdefault(r.query_id, {})[r.anchor_message_id] = round(r.raw_score, 9)
+    for k, t in enumerate(asked):
+        want = {x[0]: round(s, 9) for x in said if (s := french.rank(x[6], t)) is not None}
+        assert got.get(k, {}) == want, t
+
+
+def test_pages_follow_each_other(spark, store):
+    q = queries(spark, ("w", "user:a"), ("w", "guest"))
+    args = (store.messages, store.units, store.conversations, access.readable(store.conversations, store.participants, q), store.acl, q)
+    whole = {r.query_id: [] for r in q.collect()}
+    for r in ingest.list_messages(*args, 100).orderBy("query_id", "rank").collect():
+        whole[r.query_id].append((r.message_id, r.access_reason))
+    assert len(whole[0]) == 8 and ("explicit_acl" in {x[1] for x in whole[1]}) and len(whole[1]) == len({x[0] for x in whole[1]})
+    page = ingest.list_messages(*args, 3)
+    last = page.where("rank = 3").select("query_id", F.col("created_at").alias("at"), F.col("message_id").alias("id"))
+    second = ingest.list_messages(*args, 3, after=last).orderBy("query_id", "rank").collect()
+    assert [r.message_id for r in second if r.query_id == 0] == [x[0] for x in whole[0][3:6]] and all(r.more for r in second if r.query_id == 0)
+    some = ingest.list_messages(*args, 100, conversation_ids=["c1"]).where("query_id = 0").collect()
+    assert {r.conversation_id for r in some} == {"c1"}
+
+
+def test_clients(spark):
+    rows = spark.createDataFrame([("a", "w", ["user:*"], "s1", None), ("b", "w", ["x"], "s2", None)], "label string, workspace_id string, identities array<string>, token string, revoked_at timestamp")
+    stored = work.valid_clients(rows)
+    assert "token" not in stored.columns
+    gone = work.revoke(stored, spark.createDataFrame([("b",), ("b",)], "label string"), F.lit("2026-01-01").cast("timestamp"))
+    asked = spark.createDataFrame([(1, "s1"), (2, "s2"), (3, ""), (4, "s3")], "key int, token string")
+    found = work.resolve(gone, asked).collect()
+    assert [(r.key, r.label) for r in found] == [(1, "a")]
+    assert spark.createDataFrame([(["user:*"], "w", "w", "user:z"), (["user:*"], "w", "v", "user:z"), ([], "w", "w", "user:z")], "p array<string>, o string, w string, k string").select(access.authorised(*(F.col(c) for c in "powk"))).collect() == [(True,), (False,), (False,)]
+    for bad in (("", "w", ["x"], "s"), ("a", None, ["x"], "s"), ("a", "w", [], "s"), ("a", "w", [""], "s"), ("a", "w", ["x"], "")):
+        with pytest.raises(Exception, match="are required"):
+            work.valid_clients(spark.createDataFrame([bad], "label string, workspace_id string, identities array<string>, token string")).collect()
+
+
+def test_quantiles_equal_sorted_lists(spark):
+    from palimpsest.operators import evaluate
+
+    rng = random.Random(14)
+    groups = {"a": [rng.random() * 100 for _ in range(3000)], "b": [float(rng.randint(0, 3)) for _ in range(777)], "c": [5.0], None: [1.0, 2.0]}
+    df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs] + [("a", None)], "k string, v double")
+    out = {r.k: r for r in evaluate.latency(df, "v", "k").collect()}
+    for k, vs in groups.items():
+        s = sorted(vs)
+        at = lambda q: s[int(q * (len(s) - 1))]  # noqa: B023, E731
+        assert (out[k].p50, out[k].p95, out[k].p99, out[k].max) == (at(0.5), at(0.95), at(0.99), s[-1])
