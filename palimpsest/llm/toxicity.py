@@ -14,7 +14,8 @@ expected number of chance segments E = K n exp(-lambda S) (extreme-value theory)
 the tokens of clean texts; K is the least with which, at every level of lambda S that some segments of clean labelled texts
 reach, no more of them are found than expected.
 Segments with E below `EVALUE` are significant passages; -ln E of all with E < 1 add up to the evidence of the text. A
-logistic curve over the evidence, fitted to the labelled texts, gives the score.
+logistic curve over ln(1 + evidence), fitted to the labelled texts, gives the score; the logarithm keeps a few wrong labels of
+strong texts from flattening it.
 
 Counts cover every labelled training row.
 
@@ -50,12 +51,12 @@ FAMILY, PURE = 3, 0.8
 #: What every token pays, the least that a lexicon's token differs from that, and the highest score.
 DRIFT, LEAST, TOP = -0.25, 0.01, 8.0
 EVALUE = 0.05
-#: Segments of clean texts at a level for it to bear on K.
-ENOUGH = 10
+#: Segments at a level for it to bear on K: so many, and this share of the clean texts. Fewer may be wrong labels.
+ENOUGH, SHARE = 10, 1 / 400
 #: Cells in which texts of like evidence are counted for the fit, for each unit of ln(1 + evidence).
 CELLS = 16
-#: Different tokens that a task counts before it passes them on.
-FLUSH = 300_000
+#: Different tokens that a task counts before it passes them on, and of which it remembers the scores.
+FLUSH, REMEMBER = 300_000, 200_000
 
 
 @dataclass(frozen=True)
@@ -80,7 +81,7 @@ class Scores(dict):
         self.model = model
 
     def __missing__(self, token: str) -> float:
-        if len(self) > 1_000_000:
+        if len(self) > REMEMBER:
             self.clear()
         m, key = self.model, np.uint64(token_key(token))
         at = int(np.searchsorted(m.keys, key))
@@ -224,15 +225,12 @@ def gather(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
     return docs.select(key, text, *keep).mapInArrow(run, f"{kinds}, n_tokens bigint, segments array<struct<start:int,end:int,s:double>>")
 
 
-def _kappa(levels: dict[int, int], tokens: int) -> float:
-    """K with which no level of lambda S has more chance segments than expected. levels: segments of clean texts by whole lambda S.
-
-    Levels that fewer than `ENOUGH` segments reach say too little.
-    """
+def _kappa(levels: dict[int, int], tokens: int, texts: int) -> float:
+    """K with which no level of lambda S has more chance segments than expected. levels: segments of clean texts by whole lambda S."""
     most, above = 0.5 / (tokens + 1), 0
     for level in sorted(levels, reverse=True):
         above += levels[level]
-        if above >= ENOUGH:
+        if above >= max(ENOUGH, SHARE * texts):
             most = max(most, above / (tokens + 1) * math.exp(min(level, 500)))
     return most
 
@@ -270,9 +268,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, train: Column, key: str = "doc_
     found = stage(gather(docs, model, key, text, keep), "toxicity-segments")
     labelled = found.join(small(known), key)
     clean = labelled.where("toxic = 0")
-    size = clean.agg(F.sum("n_tokens")).first()[0] or 0
+    size, texts = clean.agg(F.sum("n_tokens"), F.count(F.lit(1))).first()
     levels = clean.select(F.explode("segments.s").alias("s")).groupBy(F.floor("s").cast("int").alias("level")).count().collect()
-    kappa = _kappa({r.level: r["count"] for r in levels}, size)
+    kappa = _kappa({r.level: r["count"] for r in levels}, size or 0, texts)
     # ln(1 / E) = lambda S - ln(K n)
     nats = F.transform("segments", lambda x: x["s"] - F.ln(F.lit(kappa) * F.greatest("n_tokens", F.lit(1))))
     evidence = F.aggregate(nats, F.lit(0.0), lambda acc, x: acc + F.greatest(x, F.lit(0.0)))
@@ -280,7 +278,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, train: Column, key: str = "doc_
         F.zip_with("segments", nats, lambda x, e: F.struct(x["start"].alias("start"), x["end"].alias("end"), e.alias("evidence"))), lambda x: x["evidence"] > -math.log(EVALUE)
     )
     cell = F.floor(F.log1p("evidence") * CELLS)
-    cells = labelled.withColumn("evidence", evidence).groupBy(cell).agg(F.avg("evidence"), F.count_if(F.col("toxic") == 0), F.count_if(F.col("toxic") == 1)).collect()
+    cells = labelled.withColumn("evidence", evidence).groupBy(cell).agg(F.avg(F.log1p("evidence")), F.count_if(F.col("toxic") == 0), F.count_if(F.col("toxic") == 1)).collect()
     a, b = _logistic([(r[1], r[2], r[3]) for r in sorted(cells)]) if cells else (-math.inf, 0.0)
-    score = F.lit(0.0) if a == -math.inf else 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.col("evidence"))))
+    score = F.lit(0.0) if a == -math.inf else 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.log1p("evidence"))))
     return found.withColumn("evidence", evidence).select(key, *keep, score.alias("score"), "evidence", passages.alias("passages"))

@@ -52,3 +52,13 @@ def test_held_out_texts_and_edge_cases(spark):
     none = T.toxicity(docs, lab.where("toxic = 0"), F.lit(True))
     assert none.where("score >= 0.7").count() == 0
     assert T.toxicity(docs.where("false"), lab, F.lit(True)).count() == 0
+
+
+def test_wrong_labels_do_not_hide_toxic_texts():
+    clean = {0: 5000, 1: 2000, 2: 700, 3: 250, 4: 90, 5: 30}
+    for scale in (1, 20, 400):
+        levels = {k: n * scale for k, n in clean.items()}
+        plain = T._kappa(levels, 10**6 * scale, 10**4 * scale)
+        assert 0.001 < plain < 0.1
+        assert T._kappa(levels | {60: 20 * scale, 200: 3 * scale}, 10**6 * scale, 10**4 * scale) < 3 * plain
+    assert T._kappa({}, 0, 0) > 0
