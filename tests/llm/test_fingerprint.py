@@ -1,5 +1,9 @@
 import hashlib
 import random
+import re
+from collections import Counter
+
+import xxhash
 
 from palimpsest.llm import fingerprint as P
 
@@ -54,3 +58,26 @@ def test_documents_equal_brute_force(spark):
     assert P.with_following(docs.where("false")).count() == 0
     assert P.with_following(docs.where("doc_id = 30")).count() == 1
     assert P.fingerprints(docs).count() == len(rows)
+
+
+def leaves_of(t):
+    """The leaves of a text as texts."""
+    out, now = [], ""
+    for token in re.findall(r"[^ \t-\r]+[ \t-\r]*|^[ \t-\r]+", t):
+        now += token
+        if xxhash.xxh64_intdigest(token.encode()) % P.LEAF == 0 or "\n" in token:
+            out.append(now)
+            now = ""
+    return out + ([now] if now else [])
+
+
+def test_likeness_is_the_share_of_common_leaves():
+    rng = random.Random(8)
+    for _ in range(150):
+        a = text(rng, rng.randint(1, 120))
+        w = a.split(" ")
+        i, j = sorted(rng.randrange(len(w) + 1) for _ in range(2))
+        b = rng.choice([" ".join(w[:i] + w[j:]), " ".join(w[i:j] + w[:i] + w[j:]), a + a, a[len(a) // 3 :], text(rng, 40)])
+        x, y = Counter(leaves_of(a)), Counter(leaves_of(b))
+        want = 2 * (x & y).total() / max(1, x.total() + y.total())
+        assert abs(P.likeness(P.fingerprint(a.encode()), P.fingerprint(b.encode())) - want) < 1e-12

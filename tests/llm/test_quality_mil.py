@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -59,3 +60,60 @@ def test_held_out_texts_and_edges(spark):
     assert by[903] >= 0.7 > by[None] and all(0 <= s <= 1 for s in by.values())
     assert {r.score for r in Q.quality(docs, lab.where("false"), F.lit(True)).collect()} == {0.5}
     assert Q.quality(docs.where("false"), lab, F.lit(True)).count() == 0
+
+
+def plain_features(text):
+    """Features of every passage, counted character by character."""
+    words, kinds = text.split(), []
+    for b in text.encode():
+        c = chr(b)
+        table = [c in " \t\r\x0b\x0c", c == "\n", "a" <= c <= "z", "A" <= c <= "Z", "0" <= c <= "9", c == ".", c in ",;:", c == "!", c == "|", c in "#*$%&<>"]
+        kinds.append(12 if 0x80 <= b < 0xC0 else 11 if b >= 0xC0 else table.index(True) if True in table else 10)
+    passages, word, counts = [words[i : i + Q.WORDS] for i in range(0, len(words), Q.WORDS)] or [[]], -1, {}
+    for i, k in enumerate(kinds):
+        if k > 1 and (i == 0 or kinds[i - 1] <= 1):
+            word += 1
+        if i:
+            counts.setdefault(max(word, 0) // Q.WORDS, []).append(kinds[i - 1] * Q.CLASSES + k)
+    out = []
+    for n, part in enumerate(passages):
+        pairs = counts.get(n, []) if part else []
+        row = [math.sqrt(pairs.count(p) / max(1, len(pairs))) for p in range(Q.CLASSES**2)]
+        row += [len(set(part)) / len(part), sum(len(w.encode()) for w in part) / len(part) / 10, len(part) / Q.WORDS] if part else [0, 0, 0]
+        out.append(row)
+    return out
+
+
+def plain_score(text, m):
+    p, codes, weights = m.weights, [], []
+    for row in plain_features(text):
+        x = [(v - a) / s for v, a, s in zip(row, m.mean, m.spread)]
+        h = [math.tanh(sum(v * p["w"][i, j] for i, v in enumerate(x)) + p["b"][j]) for j in range(Q.HIDDEN)]
+        gate = lambda name, f: [f(sum(v * p[name][i, j] for i, v in enumerate(h))) for j in range(Q.GATE)]  # noqa: B023, E731
+        both = [t * s for t, s in zip(gate("v", math.tanh), gate("u", lambda z: 1 / (1 + math.exp(-z))))]
+        codes.append(h)
+        weights.append(math.exp(sum(g * a for g, a in zip(both, p["a"]))))
+    mean = [sum(w * h[j] for w, h in zip(weights, codes)) / sum(weights) for j in range(Q.HIDDEN)]
+    return 1 / (1 + math.exp(-(sum(v * c for v, c in zip(mean, p["c"])) + p["d"][0] + m.shift)))
+
+
+def test_scores_equal_a_plain_computation(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdé") for _ in range(rng.randint(1, 7)))
+    rows = []
+    for i in range(60):
+        w = [word() + (rng.choice("#|!") if i % 2 else rng.choice(["", ".", ","])) for _ in range(rng.randint(1, 200))]
+        rows.append((i, "".join(x + rng.choice([" ", " ", "\n"]) for x in w), i % 2))
+    rows.append((60, "  ", 1))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, quality int")
+    train = F.col("doc_id") % 4 != 2
+    model = Q.learn(docs, docs.select("doc_id", "quality"), train)
+    got = {r.doc_id: r.score for r in Q.quality(docs, docs.select("doc_id", "quality"), train).collect()}
+    for i, t, _ in rows:
+        assert abs(got[i] - plain_score(t, model)) < 1e-4, i
+
+
+def test_the_fit_sees_a_bounded_part_of_long_texts():
+    bag = np.arange(1000)[:, None]
+    part = Q.spread(bag)
+    assert len(part) == Q.PASSAGES and part[0] == 0 and part[-1] == 999 and len(Q.spread(bag[:5])) == 5
