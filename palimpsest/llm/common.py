@@ -6,6 +6,7 @@ carriage return.
 
 from __future__ import annotations
 
+import re
 import sys
 import uuid
 
@@ -24,29 +25,66 @@ BROADCAST_ROWS = 4_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a folder of our own beside the warehouse if driver and executors are one process; on a cluster that is an
+    error, as such a folder may be local to one machine.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
+def _folder(spark: SparkSession, path: str) -> tuple:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """The path of a new folder under the shared one, which goes when the application ends."""
+    path = f"{shared_dir(spark)}/palimpsest/{name}-{uuid.uuid4().hex}"
+    files, where = _folder(spark, path)
+    files.deleteOnExit(where)
+    return path
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts the lineage with a copy that outlives executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/palimpsest/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     schema = df.schema
     df.write.parquet(path)
+    _STAGED.append(path)
     return spark.read.schema(schema).parquet(path)
 
 
+#: Staged folders, in the order in which they were written.
+_STAGED: list[str] = []
+
+
+def staged() -> int:
+    """A mark for drop_staged."""
+    return len(_STAGED)
+
+
+def drop_staged(spark: SparkSession, mark: int) -> None:
+    """Deletes what was staged since the mark; call it when no result that reads it is still to be computed."""
+    while len(_STAGED) > mark:
+        files, where = _folder(spark, _STAGED.pop())
+        files.delete(where, True)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Deletes every staged table under the shared folder; call it when no staged result is still to be read."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/palimpsest")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _STAGED.clear()
+    files, where = _folder(spark, f"{shared_dir(spark)}/palimpsest")
+    files.delete(where, True)
 
 
 def partitions(spark: SparkSession) -> int:
