@@ -42,6 +42,8 @@ LEXICON, LENGTH = 65_536, 32
 SHORT = 48
 #: Words that a task remembers.
 REMEMBER = 300_000
+#: Rows that a task encodes, or decodes, at a time.
+ROWS = 1000
 
 
 @dataclass(frozen=True)
@@ -233,6 +235,13 @@ def _paths(grouped: DataFrame) -> DataFrame:
     return grouped.select("word", last.alias("ids"))
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """batches in smaller parts, so that the ids of few texts are held at once."""
+    for b in batches:
+        for k in range(0, b.num_rows, ROWS):
+            yield b.slice(k, ROWS)
+
+
 def _rename(df: DataFrame, name: str) -> DataFrame:
     return df.drop(name) if name in df.columns else df
 
@@ -248,7 +257,7 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", lexicon: int = L
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = {w: array("i", x) for w, x in known.items()}
         ids = dict(start)
-        for b in batches:
+        for b in _slices(batches):
             if len(ids) > len(start) + REMEMBER:
                 ids = dict(start)
             flat, ends, missing = array("i"), [0], []
@@ -275,7 +284,7 @@ def decode(rows: DataFrame, pieces: Pieces, ids: str = "token_ids") -> DataFrame
     at, names = rows.columns.index(ids), [*rows.columns, "decoded"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             yield pa.RecordBatch.from_arrays([*b.columns, pieces.decode(b.column(at))], names)
 
     return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("decoded", StringType())]))

@@ -70,3 +70,17 @@ def test_viterbi_fold_equals_the_python_path(spark):
     words = ["abc", "abcabc", "caab", "a", "cccc", "bcabcaab"]
     got = {r.word: r.ids for r in L.lattice(spark.createDataFrame([(w,) for w in words], "word string"), made).collect()}
     assert got == {w: made.encode_word(w) for w in words}
+
+
+def test_batches_are_worked_off_in_parts():
+    import pyarrow as pa
+
+    from palimpsest.llm import sentencepiece_lattice as L
+
+    rows = pa.RecordBatch.from_pydict({"text": [f"a text {i}" if i % 7 else None for i in range(2500)]})
+    parts = list(L._slices([rows]))
+    assert [p.num_rows for p in parts] == [1000, 1000, 500] and pa.Table.from_batches(parts).to_pydict() == rows.to_pydict()
+    pieces = L.Pieces.load("/opt/tokenizers/piece_bpe_32k.model")
+    texts = ["one", None, "", "two words", "drei Wörter ß"]
+    ids = pa.array([None if t is None else [i for w in ("▁" + t.replace(" ", "▁")).replace("▁", " ▁").split() for i in pieces.encode_word(w)] if t else [] for t in texts], pa.list_(pa.int32()))
+    assert pieces.decode(ids.slice(2)).to_pylist() == texts[2:] and pieces.decode(ids.slice(1, 3)).to_pylist() == texts[1:4]
