@@ -36,6 +36,8 @@ from .common import stage
 
 MARK = "▁"
 WORD = f"{MARK}*[^{MARK}]+|{MARK}+"
+#: The same without the first mark of each, for texts that begin with one: then every word does.
+BARE = re.compile(f"{MARK}({MARK}*[^{MARK}]+|{MARK}*)")
 #: Words encoded relationally, and their greatest length.
 LEXICON, LENGTH = 65_536, 32
 #: Characters up to which a word is merged by scanning its pairs.
@@ -242,6 +244,27 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.slice(k, ROWS)
 
 
+def _bare_words(text: str) -> list[str]:
+    """The words of a text that is not empty, without the first mark of each."""
+    if "  " in text or MARK in text or text[0] == " " or text[-1] == " ":
+        return BARE.findall(MARK + text.replace(" ", MARK))
+    return text.split(" ")
+
+
+class _Ids(dict):
+    """Ids of words without their first mark, as the bytes of 32-bit numbers; other words are encoded as they are met."""
+
+    def __init__(self, known: dict[str, bytes], pieces: Pieces):
+        super().__init__(known)
+        self.pieces = pieces
+
+    def __missing__(self, bare: str) -> bytes:
+        made = array("i", self.pieces.encode_word(MARK + bare)).tobytes()
+        if len(bare) < LENGTH:
+            self[bare] = made
+        return made
+
+
 def _rename(df: DataFrame, name: str) -> DataFrame:
     return df.drop(name) if name in df.columns else df
 
@@ -249,30 +272,25 @@ def _rename(df: DataFrame, name: str) -> DataFrame:
 def encode(docs: DataFrame, pieces: Pieces, text: str = "text", lexicon: int = LEXICON) -> DataFrame:
     """docs with token_ids."""
     words = stage(frequent_words(docs, text, lexicon), "lattice-words")
-    known = {r.word: r.ids for r in stage(lattice(words, pieces), "lattice-paths").collect()}  # at most `lexicon` rows
+    paths = stage(lattice(words, pieces), "lattice-paths").collect()  # at most `lexicon` rows
+    known = {r.word[1:]: array("i", r.ids).tobytes() for r in paths}
     docs = _rename(docs, "token_ids")
-    at, cut = docs.columns.index(text), re.compile(WORD)
-    names = [*docs.columns, "token_ids"]
+    at, names = docs.columns.index(text), [*docs.columns, "token_ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start = {w: array("i", x) for w, x in known.items()}
-        ids = dict(start)
+        ids = _Ids(known, pieces)
         for b in _slices(batches):
-            if len(ids) > len(start) + REMEMBER:
-                ids = dict(start)
-            flat, ends, missing = array("i"), [0], []
+            if len(ids) > len(known) + REMEMBER:
+                ids = _Ids(known, pieces)
+            flat, ends, missing = [], [0], []
             for x in b.column(at):
                 t = x.as_py()
                 missing.append(t is None)
-                for w in cut.findall(MARK + t.replace(" ", MARK)) if t else ():
-                    found = ids.get(w)
-                    if found is None:
-                        found = array("i", pieces.encode_word(w))
-                        if len(w) <= LENGTH:
-                            ids[w] = found
-                    flat += found
-                ends.append(len(flat))
-            made = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, dtype=np.int32) if flat else [], pa.int32()), mask=pa.array(missing, pa.bool_()))
+                found = b"".join(map(ids.__getitem__, _bare_words(t))) if t else b""
+                flat.append(found)
+                ends.append(ends[-1] + len(found) // 4)
+            numbers = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(flat))])
+            made = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), numbers, mask=pa.array(missing, pa.bool_()))
             yield pa.RecordBatch.from_arrays([*b.columns, made], names)
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("token_ids", ArrayType(IntegerType()))]))

@@ -84,3 +84,20 @@ def test_batches_are_worked_off_in_parts():
     texts = ["one", None, "", "two words", "drei Wörter ß"]
     ids = pa.array([None if t is None else [i for w in ("▁" + t.replace(" ", "▁")).replace("▁", " ▁").split() for i in pieces.encode_word(w)] if t else [] for t in texts], pa.list_(pa.int32()))
     assert pieces.decode(ids.slice(2)).to_pylist() == texts[2:] and pieces.decode(ids.slice(1, 3)).to_pylist() == texts[1:4]
+
+
+def test_words_are_kept_as_bytes_and_cut_as_by_the_pattern(pieces):
+    import re
+    import tracemalloc
+
+    for t in [t for t in texts() if t] + ["a▁b ▁c", "▁", "a ▁", "one two  three ", " x"]:
+        assert [L.MARK + w for w in L._bare_words(t)] == re.findall(L.WORD, L.MARK + t.replace(" ", L.MARK)), t
+    ids, words = L._Ids({}, pieces), [f"wörd{i}" for i in range(20_000)]
+    assert pa.array([list(memoryview(ids["words"]).cast("i"))]).to_pylist() == [pieces.encode_word("▁words")]
+    tracemalloc.start()
+    for w in words:
+        ids[w]
+    assert tracemalloc.get_traced_memory()[0] < 200 * len(words)
+    tracemalloc.stop()
+    ids["x" * L.LENGTH]
+    assert "x" * L.LENGTH not in ids and len(ids) == len(words) + 1
