@@ -101,3 +101,11 @@ def test_words_are_kept_as_bytes_and_cut_as_by_the_pattern(pieces):
     tracemalloc.stop()
     ids["x" * L.LENGTH]
     assert "x" * L.LENGTH not in ids and len(ids) == len(words) + 1
+
+
+def test_the_query_runs_in_light_batches(spark):
+    """What it returns is staged, as its caller's batches are 64 MB."""
+    from palimpsest.llm import op04
+
+    out = op04.query(spark, "/root/testdata/sf0.001")
+    assert "MapInArrow" not in out._jdf.queryExecution().executedPlan().toString() and out.where("round_trip").count() > 0
